@@ -1,39 +1,6 @@
-"""Queries of the core operators."""
+"""All core queries and their SQL."""
 
-from __future__ import annotations
+from lurus.plans import corpus, evaluation, nested
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lurus.operators import variants
-from lurus.plans.session import table
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.found_errors(table(spark, sf_dir, "annotations"), table(spark, sf_dir, "annotation_raw"))
-
-
-def all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.typed_nodes(table(spark, sf_dir, "annotations")).unionByName(variants.raw_nodes(table(spark, sf_dir, "annotation_raw")), allowMissingColumns=True)
-
-
-def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.level(all_nodes(spark, sf_dir), "record")
-
-
-def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.level(all_nodes(spark, sf_dir), "sentence")
-
-
-def p1_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.level(all_nodes(spark, sf_dir), "error")
-
-
-def p1_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many nodes each structural variant of each level has."""
-    return all_nodes(spark, sf_dir).groupBy("level", "shape").agg(F.count("*").alias("nodes"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_records, p1_sentences, p1_errors, p1_shapes)}
+QUERIES = evaluation.query.queries | corpus.query.queries | nested.query.queries
+SQL = evaluation.query.sql | corpus.query.sql | nested.query.sql
