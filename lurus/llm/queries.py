@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurus.llm import abuse, collapse, families, overlap, packing, proportions, terms, tokens
+from lurus.llm.oracle import SQL
 from lurus.llm.text import split_name
 from lurus.plans.session import table
 
@@ -125,4 +126,6 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if("found").alias("found"), F.avg(F.col("found").cast("int")).alias("rate"))
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_splits, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_collapsed, p7_ids, p7_round_trip, p8_found, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}
