@@ -90,9 +90,9 @@ def encode(df: DataFrame, id_col: str, text: str, vocab: DataFrame, bos: bool =
 
 
 def decode(df: DataFrame, id_col: str, ids: str, vocab: DataFrame) -> DataFrame:
-    """(id, text): tokens of the ids joined by blanks; marks are skipped, unknown ids read <unk>."""
+    """(id, text): tokens of the ids joined by blanks; special and unknown ids are skipped."""
     flat = df.select(F.col(id_col).alias("id"), F.posexplode_outer(ids).alias("pos", "token_id")).join(small(vocab.select("token", "token_id")), "token_id", "left")
-    token = F.when(F.col("token_id") >= len(SPECIAL), F.coalesce("token", F.lit(SPECIAL[UNK])))
+    token = F.when(F.col("token_id") >= len(SPECIAL), F.col("token"))
     return flat.groupBy("id").agg(F.sort_array(F.collect_list(F.when(token.isNotNull(), F.struct("pos", token.alias("t"))))).alias("p")).select("id", F.array_join(F.transform("p", lambda p: p["t"]), " ").alias("text"))
 
 

@@ -76,10 +76,10 @@ def state(value) -> str:
     """The automaton's state of a node."""
     if value is None:
         return "null"
-    if isinstance(value, (_number, float)) and not isinstance(value, bool):
-        return "number"
     if isinstance(value, bool):
         return "bool"
+    if isinstance(value, (_number, int, float)):
+        return "number"
     if isinstance(value, str):
         inner, encoded = opened(value)
         return f"encoded {state(inner)}" if encoded else "text"
@@ -139,8 +139,15 @@ def _records(value, path: str) -> Iterator[tuple[dict, str]]:
                 yield from _records(v, f"{path}/{k}")
 
 
-def nodes(ann_id: int | None, payload: str | None) -> Iterator[dict]:
+def nodes(ann_id: int | None, payload: str | None) -> list[dict]:
     """A row for each record, sentence and error of a payload."""
+    try:
+        return list(_nodes(ann_id, payload))
+    except RecursionError:
+        return []
+
+
+def _nodes(ann_id: int | None, payload: str | None) -> Iterator[dict]:
     for r, (record, path) in enumerate(_records(parse(payload), "")):
         sentences, form = _entries(record, "sentences")
         own = {"ann_id": ann_id, "record_pos": r}

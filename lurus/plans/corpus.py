@@ -345,7 +345,7 @@ def encoded(spark, sf_dir):
     return dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=20)
 
 
-@query(f"WITH {ENCODED}, u AS (SELECT id, unnest(ids) AS i, generate_subscripts(ids, 1) AS pos FROM ids), d AS (SELECT id, string_agg(coalesce(token, '<unk>'), ' ' ORDER BY pos) FILTER (i = 1 OR i >= 4) AS x FROM u LEFT JOIN vocab ON i = token_id GROUP BY 1) SELECT id, coalesce(x, '') AS text FROM d".replace("FILTER (i = 1 OR i >= 4)", "FILTER (i >= 4)"))
+@query(f"WITH {ENCODED}, u AS (SELECT id, unnest(ids) AS i, generate_subscripts(ids, 1) AS pos FROM ids), d AS (SELECT id, string_agg(token, ' ' ORDER BY pos) FILTER (i = 1 OR i >= 4) AS x FROM u LEFT JOIN vocab ON i = token_id GROUP BY 1) SELECT id, coalesce(x, '') AS text FROM d".replace("FILTER (i = 1 OR i >= 4)", "FILTER (i >= 4)"))
 def decoded(spark, sf_dir):
     v = checkpointed(vocab(spark, sf_dir))
     return dataset.decode(dataset.encode(predictions(spark, sf_dir), "id", "hyp", v, bos=True, most=20), "id", "ids", v)
