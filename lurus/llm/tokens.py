@@ -4,7 +4,8 @@ A text is cut into words by the tokenizer's pattern. Only distinct words are enc
 higher-order functions, one ranked merge a step: of all neighbours whose joint bytes are a token the pair of lowest rank, the leftmost of equals, is
 merged, until no pair is a token. The ranks are one literal: an array of small maps, addressed by the CRC of the piece, so a look-up reads a handful of
 entries. Words of more than LONG bytes are merged in Python with a heap, to the same result. Ids of words are joined back to the texts: by broadcast
-while the dictionary is below a checked size, else by shuffle, where Spark splits the skewed words.
+while the dictionary is below a checked size, else only words that make up a ten-thousandth of all words or more (10,000 at most) are broadcast and the
+others, none of which can be skewed, are joined by shuffle.
 
 Defined results: null and empty texts have the empty list; repeated rows and ids are encoded each by itself; texts of any length are encoded whole;
 special tokens' strings are ordinary text; an empty table gives an empty result; further columns are ignored.
@@ -33,6 +34,8 @@ CELLS = 16384
 LONG = 240
 #: The dictionary is broadcast up to so many words and bytes.
 BROADCAST_WORDS, BROADCAST_BYTES = 400_000, 12_000_000
+#: Beyond, words of at least this share of all words are; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-4
 NONE = 2**31 - 1
 
 
@@ -113,7 +116,7 @@ def _long_words(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [heap_merges(w.encode(), ranks(path)) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
 
     return encode
 
@@ -126,11 +129,11 @@ def text_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, ids) of each distinct word."""
-    distinct = words.where("word is not null").groupBy("word").count().select("word")
+    """(word, n, ids) of each distinct word."""
+    distinct = words.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     latin = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
-    short = distinct.where(F.octet_length("word") <= LONG).select("word", fold_merges(latin, rank_map(path)).alias("ids"))
-    long_ = distinct.where(F.octet_length("word") > LONG).mapInArrow(_long_words(path), "word string, ids array<int>")
+    short = distinct.where(F.octet_length("word") <= LONG).select("word", "n", fold_merges(latin, rank_map(path)).alias("ids"))
+    long_ = distinct.where(F.octet_length("word") > LONG).mapInArrow(_long_words(path), "word string, n long, ids array<int>")
     return short.union(long_)
 
 
@@ -138,10 +141,15 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """(row, id, ids): the token ids of each row's text."""
     words = text_words(df, id_col, text_col)
     known = checkpointed(dictionary(words, path))
-    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids")), F.lit(0)).alias("b")).first()
-    if size.n <= BROADCAST_WORDS and size.b <= BROADCAST_BYTES:
-        known = F.broadcast(known)
-    parts = words.join(known, "word", "left").groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
+    size = known.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids")), F.lit(0)).alias("bytes")).first()
+    ids = known.select("word", "ids")
+    if size.words <= BROADCAST_WORDS and size.bytes <= BROADCAST_BYTES:
+        found = words.join(F.broadcast(ids), "word", "left")
+    else:
+        hot = F.col("n") >= max(1, size.all * HOT_SHARE)
+        met = words.join(F.broadcast(known.where(hot).select("word", "ids")), "word", "left")
+        found = met.where("ids is not null or word is null").unionByName(met.where("ids is null and word is not null").drop("ids").join(known.where(~hot).select("word", "ids"), "word"))
+    parts = found.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
     return parts.select("row", "id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
