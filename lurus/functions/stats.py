@@ -16,6 +16,18 @@ def uniform(*parts: Column | int | str) -> Column:
     return draw(*parts) / F.lit(float(2**32))
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once, where Spark would else compute it at every mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def four_uniforms(*parts: Column | int | str) -> Column:
+    """A struct a, b, c, d of independent numbers in [0, 1) from one md5."""
+    columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
+    h = F.md5(F.concat_ws("|", *(c.cast("string") for c in columns)))
+    return let(h, lambda x: F.struct(*((F.conv(F.substring(x, 1 + 8 * k, 8), 16, 10).cast("double") / float(2**32)).alias(n) for k, n in enumerate("abcd"))))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))

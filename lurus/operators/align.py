@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lurus.functions.stats import ratio
 from lurus.functions.text import mend_spacing
 from lurus.operators.scoring import prf
+from lurus.plans.session import checkpointed, spread
 
 EDITS = "array<struct<i:int,j:int,src:string,tgt:string>>"
 EVENTS = "array<struct<ch:string,outcome:string>>"
@@ -56,7 +57,7 @@ def edit_counts(df: DataFrame, src: str, hyp: str, ref: str, keep: tuple[str, ..
     """tp, fp, fn of the edits from source to hypothesis against those to the reference, in lower case."""
     form = lambda c: mend_spacing(F.lower(F.coalesce(F.col(c), F.lit("")))) if spacing else F.lower(F.coalesce(F.col(c), F.lit("")))
     base = df.select(*keep, form(src).alias("s"), form(hyp).alias("h"), form(ref).alias("r"))
-    rows = base.select(*keep, edits(F.col("s"), F.col("h")).alias("got"), edits(F.col("s"), F.col("r")).alias("want"))
+    rows = spread(base).select(*keep, edits(F.col("s"), F.col("h")).alias("got"), edits(F.col("s"), F.col("r")).alias("want"))
     both = F.size(F.array_intersect("got", "want"))
     return rows.select(*keep, both.alias("tp"), F.size(F.array_except("got", "want")).alias("fp"), F.size(F.array_except("want", "got")).alias("fn"))
 
@@ -67,7 +68,8 @@ def edit_prf(counts: DataFrame) -> DataFrame:
 
 def channel(df: DataFrame, true: str, seen: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ch, outcome, n) of substitutions and deletions, (ch, n) of insertions, and one row with n_pairs and ins_rate."""
-    rows = df.where(F.col(true).isNotNull() & F.col(seen).isNotNull()).select(true, events(F.col(true), F.col(seen)).alias("e"))
+    rows = spread(df.where(F.col(true).isNotNull() & F.col(seen).isNotNull()).select(true, seen)).select(true, events(F.col(true), F.col(seen)).alias("e"))
+    rows = checkpointed(rows)  # three results rest on one alignment
     counts = rows.select(F.explode("e").alias("e")).groupBy("e.ch", "e.outcome").agg(F.count("*").alias("n"))
     rate = rows.agg(F.count("*").alias("n_pairs"), ratio(F.sum(F.size(F.filter("e", lambda x: x["ch"] == ""))).cast("double"), F.sum(F.greatest(F.length(true), F.lit(1))).cast("double")).alias("ins_rate"))
     return counts.where("ch <> ''"), counts.where("ch = ''").select(F.col("outcome").alias("ch"), "n"), rate

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurus.functions.stats import draw, uniform
+from lurus.functions.stats import draw, four_uniforms, let
 from lurus.functions.text import tokens
 from lurus.operators.resources import small
+from lurus.plans.session import spread
 
 #: Keys beside each key, letter patterns that are often confused, and shapes that recognisers confuse.
 BESIDE = {
@@ -20,6 +23,8 @@ PATTERNS = (
     ("di", "di-"), ("kan", "in"), ("an", "nya"),
 )
 SHAPES = (("l", "1"), ("0", "o"), ("1", "i"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"))
+#: Outcomes that a character channel may have in all.
+MOST_OUTCOMES = 200_000
 MODES = {"typographic": ("adjacent", "double", "swap", "shape"), "spelling": ("omit", "swap", "vowel", "pattern")}
 
 
@@ -31,52 +36,65 @@ def _like(case_of: Column, letter: Column) -> Column:
     return F.when(F.upper(case_of) == case_of, F.upper(letter)).otherwise(letter)
 
 
-def _replaced(core: Column, pairs: tuple[tuple[str, str], ...], r: Column) -> Column:
+def _replaced(core: Column, low: Column, pairs: tuple[tuple[str, str], ...], u: Column) -> Column:
     """One of the patterns that occur in a core, its first occurrence replaced."""
-    low = F.lower(core)
     fit = F.filter(_pairs(pairs), lambda p: F.contains(low, p["a"]))
-    p = F.get(fit, (r % F.greatest(F.size(fit), F.lit(1))).cast("int"))
-    at = F.position(p["a"], low)
-    new = F.concat(F.substring(low, F.lit(1), at - 1), p["b"], F.substr(low, at + F.length(p["a"])))
-    kept = F.when(F.substring(core, 1, 1) == F.substring(low, 1, 1), new).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2))))
-    return F.when(F.size(fit) > 0, kept).otherwise(core)
+
+    def replace(f: Column) -> Column:
+        def with_pattern(p: Column) -> Column:
+            at = F.position(p["a"], low)
+            new = F.concat(F.substring(low, F.lit(1), at - 1), p["b"], F.substr(low, at + F.length(p["a"])))
+            return F.when(F.substring(core, 1, 1) == F.substring(low, 1, 1), new).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substr(new, F.lit(2))))
+
+        return F.when(F.size(f) > 0, let(F.get(f, F.floor(u * F.size(f)).cast("int")), with_pattern)).otherwise(core)
+
+    return let(fit, replace)
 
 
 def damaged(word: Column, mode: str, *seed: Column | int) -> Column:
     """A word with one error of the mode; marks at its ends stay, words of fewer than three letters are left alone."""
-    part = lambda n: F.regexp_extract(word, r"(?s)^(\P{L}*)(.*?)(\P{L}*)$", n)
-    core, n = part(2), F.length(part(2))
-    r = lambda name: draw(*seed, name)
-    take = lambda a, k: F.substr(core, a, k)
-    any_at, inner, before_last = (r("at") % n + 1).cast("int"), (r("at") % F.greatest(n - 2, F.lit(1)) + 2).cast("int"), (r("at") % F.greatest(n - 1, F.lit(1)) + 1).cast("int")
+    beside = F.create_map(*(F.lit(x) for kv in BESIDE.items() for x in kv))
 
-    def letter_at(at: Column, choices: Column) -> Column:
-        old = take(at, F.lit(1))
-        new = F.substr(choices, (r("to") % F.greatest(F.length(choices), F.lit(1)) + 1).cast("int"), F.lit(1))
-        return F.when(F.length(choices) > 0, F.concat(take(F.lit(1), at - 1), _like(old, new), F.substr(core, at + 1))).otherwise(core)
+    def damage(x: Column) -> Column:
+        core, low, u = x["core"], F.lower(x["core"]), x["u"]
+        n = F.length(core)
+        take = lambda a, k: F.substr(core, a, k)
+        one = F.lit(1)
+        place = lambda first, count: (F.lit(first) + F.floor(u["b"] * count)).cast("int")
+
+        def letter_at(at: Column, choices: Column) -> Column:
+            new = lambda c: F.substr(c, (1 + F.floor(u["c"] * F.length(c))).cast("int"), one)
+            return let(choices, lambda c: F.when(F.length(c) > 0, F.concat(take(one, at - 1), _like(take(at, one), new(c)), F.substr(core, at + 1))).otherwise(core))
+
+        def swapped(at: Column) -> Column:
+            return F.concat(take(one, at - 1), take(at + 1, one), take(at, one), F.substr(core, at + 2))
+
+        def vowel(places: Column) -> Column:
+            at = F.get(places, F.floor(u["b"] * F.size(places)).cast("int"))
+            return F.when(F.size(places) > 0, let(at, lambda i: letter_at(i, F.replace(F.lit("aeiou"), F.substr(low, i, one))))).otherwise(core)
+
+        done = {
+            "adjacent": lambda: let(place(1, n), lambda i: letter_at(i, F.coalesce(F.try_element_at(beside, F.substr(low, i, one)), F.lit("")))),
+            "double": lambda: let(place(1, n), lambda i: F.concat(take(one, i), F.substr(core, i))),
+            "swap": lambda: let(place(1, n - 1), swapped),
+            "shape": lambda: _replaced(core, low, SHAPES, u["c"]),
+            "omit": lambda: let(place(2, n - 2), lambda i: F.concat(take(one, i - 1), F.substr(core, i + 1))),
+            "vowel": lambda: let(F.filter(F.sequence(one, n), lambda i: F.substr(low, i, one).isin(*"aeiou")), vowel),
+            "pattern": lambda: _replaced(core, low, PATTERNS, u["c"]),
+        }
+        ops = MODES[mode]
+        op, out = F.floor(u["a"] * len(ops)), core
+        for k, name in enumerate(ops):
+            out = F.when(op == k, done[name]()).otherwise(out)
+        return F.when(n < 3, x["word"]).otherwise(F.concat(x["head"], out, x["tail"]))
 
-    beside = F.create_map(*(F.lit(x) for kv in BESIDE.items() for x in kv))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.lower(take(i, F.lit(1))).isin(*"aeiou"))
-    vowel_at = F.get(places, (r("at") % F.greatest(F.size(places), F.lit(1))).cast("int"))
-    done = {
-        "adjacent": letter_at(any_at, F.coalesce(F.try_element_at(beside, F.lower(take(any_at, F.lit(1)))), F.lit(""))),
-        "double": F.concat(take(F.lit(1), any_at), F.substr(core, any_at)),
-        "swap": F.concat(take(F.lit(1), before_last - 1), take(before_last + 1, F.lit(1)), take(before_last, F.lit(1)), F.substr(core, before_last + 2)),
-        "shape": _replaced(core, SHAPES, r("to")),
-        "omit": F.concat(take(F.lit(1), inner - 1), F.substr(core, inner + 1)),
-        "vowel": F.when(F.size(places) > 0, letter_at(vowel_at, F.replace(F.lit("aeiou"), F.lower(take(vowel_at, F.lit(1)))))).otherwise(core),
-        "pattern": _replaced(core, PATTERNS, r("to")),
-    }
-    ops = MODES[mode]
-    op, out = r("op") % len(ops), core
-    for k, name in enumerate(ops):
-        out = F.when(op == k, done[name]).otherwise(out)
-    return F.when(n < 3, word).otherwise(F.concat(part(1), out, part(3)))
+    part = lambda n: F.regexp_extract(word, r"(?s)^(\P{L}*)(.*?)(\P{L}*)$", n)
+    return let(F.struct(word.alias("word"), part(1).alias("head"), part(2).alias("core"), part(3).alias("tail"), four_uniforms(*seed).alias("u")), damage)
 
 
 def inject_spelling(df: DataFrame, id_col: str, text: str, mode: str, errors: int | None = None, seed: int = 42) -> DataFrame:
     """(id, damaged): up to `errors` words of four letters or more get one error each; texts of fewer than two words stay. Row by row, without a shuffle."""
-    base, ident = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"), tokens(F.col(text)).alias("ts")), F.col("id")
+    base, ident = spread(df.select(F.col(id_col).alias("id"), F.col(text).alias("t"))).withColumn("ts", tokens(F.col("t"))), F.col("id")
     most = F.lit(errors) if errors is not None else 1 + draw(seed, ident, "n") % F.least(F.lit(3), F.greatest(F.lit(1), F.floor(F.size("ts") / 5)))
     order = F.transform(F.filter(F.transform("ts", lambda w, i: F.struct(draw(seed, ident, i, "w").alias("r"), i.alias("i"), F.length(w).alias("n"))), lambda x: x["n"] >= 4), lambda x: F.struct(x["r"].alias("r"), x["i"].alias("i")))
     chosen = F.transform(F.slice(F.array_sort(order), F.lit(1), most.cast("int")), lambda x: x["i"])
@@ -99,29 +117,48 @@ def inject_slang(df: DataFrame, id_col: str, text: str, rules: DataFrame, most:
 
 
 def through_channel(df: DataFrame, id_col: str, text: str, channel: DataFrame, insertions: DataFrame, ins_rate: float, scale: float = 1.0, sub_only: bool = False, keep_space: bool = True, seed: int = 13) -> DataFrame:
-    """(id, damaged) for unique ids: each character drawn from the channel's outcomes for it.
+    """(id, damaged): each character drawn from the channel's outcomes for it, row by row and without a shuffle.
 
     channel: (ch, outcome, n), outcome `=x` or `DEL`; insertions: (ch, n). Characters that the channel lacks pass. A deletion or substitution that was
     drawn happens with probability `scale`; an insertion may follow any character but a kept blank and a deleted one. With sub_only nothing is deleted or
-    inserted. The channel is folded to one sorted array of (upper bound, outcome) for each character, its size bounded by the alphabet.
+    inserted. The channel, whose size the alphabet bounds, becomes a literal map to sorted (upper bound, outcome) steps; more than MOST_OUTCOMES rows
+    are refused.
     """
-    w = Window.partitionBy("ch").orderBy(F.col("n").desc(), "outcome")
-    steps = channel.select("ch", "outcome", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("hi"), F.sum("n").over(Window.partitionBy("ch")).alias("all"))
-    table = steps.groupBy("ch").agg(F.sort_array(F.collect_list(F.struct((F.col("hi") / F.col("all")).alias("hi"), "outcome"))).alias("steps"))
-    ins = insertions.select("ch", (F.sum("n").over(Window.orderBy(F.col("n").desc(), "ch").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("n").over(Window.partitionBy())).alias("hi")).agg(F.sort_array(F.collect_list(F.struct("hi", "ch"))).alias("ins"))
-    ident = F.col("id")
-    flat = df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).select("id", F.posexplode(F.filter(F.split("t", ""), lambda c: c != "")).alias("pos", "ch"))
-    rows = flat.join(F.broadcast(table), "ch", "left").join(F.broadcast(ins))
-    u = lambda name: uniform(seed, ident, F.col("pos"), name)
-    drawn = F.get(F.filter("steps", lambda s: s["hi"] > u("o")), F.lit(0))["outcome"]
-    protected = F.lit(keep_space) & (F.col("ch") == " ")
-    act = ~protected & drawn.isNotNull() & (u("s") < scale)
-    gone = act & (drawn == "DEL") & F.lit(not sub_only)
-    kept = F.when(gone, "").when(act & drawn.startswith("="), F.substr(drawn, F.lit(2))).otherwise(F.col("ch"))
-    extra = F.when(~protected & ~gone & (u("i") < ins_rate * scale) & F.lit(not sub_only), F.get(F.filter("ins", lambda s: s["hi"] > u("c")), F.lit(0))["ch"])
-    parts = rows.select("id", "pos", F.concat(kept, F.coalesce(extra, F.lit(""))).alias("out")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "out"))).alias("p"))
-    text_ = F.array_join(F.transform("p", lambda p: p["out"]), "")
-    return df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(parts, "id", "left").select("id", F.coalesce(text_, F.col("t")).alias("damaged"))
+    steps, ins = _steps(channel, "ch", "outcome"), _steps(insertions.select(F.lit("").alias("k"), "ch", "n"), "k", "ch").get("", [])
+    table = F.from_json(F.lit(json.dumps(steps)), "map<string,array<struct<hi:double,x:string>>>")
+    extra = F.from_json(F.lit(json.dumps(ins)), "array<struct<hi:double,x:string>>")
+    drawn = lambda s, u: F.get(F.filter(s, lambda x: x["hi"] > u), F.lit(0))["x"]
+
+    def one(ch: Column, at: Column) -> Column:
+        def out(u: Column) -> Column:
+            def act(o: Column) -> Column:
+                gone = (o == "DEL") & (u["b"] < scale) & F.lit(not sub_only)
+                kept = F.when(o.startswith("=") & (u["b"] < scale), F.substr(o, F.lit(2))).otherwise(ch)
+                added = F.when((u["c"] < ins_rate * scale) & F.lit(not sub_only), drawn(extra, u["d"]))
+                return F.when(F.coalesce(gone, F.lit(False)), "").otherwise(F.concat(F.coalesce(kept, ch), F.coalesce(added, F.lit(""))))
+
+            return let(drawn(F.try_element_at(table, ch), u["a"]), act)
+
+        changed = let(four_uniforms(seed, F.col(id_col), at), out)
+        return F.when(ch == " ", ch).otherwise(changed) if keep_space else changed
+
+    chars = F.filter(F.split(F.col(text), ""), lambda c: c != "")
+    return spread(df.select(id_col, text)).select(F.col(id_col).alias("id"), F.array_join(F.transform(chars, one), "").alias("damaged"))
+
+
+def _steps(counts: DataFrame, key: str, outcome: str) -> dict[str, list[dict]]:
+    rows = counts.where("n > 0").limit(MOST_OUTCOMES + 1).collect()
+    if len(rows) > MOST_OUTCOMES:
+        raise ValueError(f"a channel has {MOST_OUTCOMES} outcomes at most")
+    out: dict[str, list[dict]] = {}
+    for r in sorted(rows, key=lambda r: (r[key], -r.n, r[outcome])):
+        out.setdefault(r[key], []).append({"hi": r.n, "x": r[outcome]})
+    for steps in out.values():
+        total, so_far = sum(s["hi"] for s in steps), 0
+        for s in steps:
+            so_far += s["hi"]
+            s["hi"] = so_far / total
+    return out
 
 
 def repeated(df: DataFrame, times: int) -> DataFrame:

@@ -63,6 +63,12 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The frame over all cores, for work that is heavy for each row: a small file is one partition, however much is done with its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
