@@ -25,9 +25,11 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurus.plans.session import spread
+
 WORDS, STEP, LEVEL = 6, 2, 19
 #: Bytes of each half of a dictionary, and number of dictionary pairs.
 HALF, MEMBERS = 120_000, 3
@@ -153,16 +155,30 @@ def best_threshold(scored: list[tuple[float, int]]) -> float:
     return at
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 42) -> Model | None:
-    """A model from (text, toxic) rows; every fourth of each class is kept for the threshold."""
-    toxic, ordinary = ([windows(t) for t, y in rows if y == label] for label in (1, 0))
-    if not toxic or not ordinary:
+def parted(rows: list[tuple[str, int]]) -> tuple[list[list[str]], list[list[str]], list[tuple[str, int]]]:
+    """Windows of toxic and of ordinary training documents, and the documents kept for the threshold: every fourth of each class."""
+    classes = [[t for t, y in rows if y == label] for label in (1, 0)]
+    toxic, ordinary = ([windows(d) for k, d in enumerate(docs) if k % 4 or len(docs) < 4] for docs in classes)
+    return toxic, ordinary, [(d, y) for docs, y in zip(classes, (1, 0)) for d in docs[::4]]
+
+
+def fit(spark: SparkSession, rows: list[tuple[str, int]], seed: int = 42) -> Model | None:
+    """A model from (text, toxic) rows. Members are trained, and kept documents scored, in tasks of their own."""
+    if not {0, 1} <= {y for _, y in rows}:
         return None
-    train = lambda docs: [d for k, d in enumerate(docs) if k % 4 or len(docs) < 4]
-    held = [(d, y) for docs, y in ((toxic, 1), (ordinary, 0)) for d in docs[::4]]
-    dictionaries = tuple(train_pair(train(toxic), train(ordinary), seed + k) for k in range(MEMBERS))
-    pairs = [Pair(*d) for d in dictionaries]
-    return Model(dictionaries, best_threshold([(max(sum(p(w) for p in pairs) / len(pairs) for w in d), y) for d, y in held if d]))
+    toxic, ordinary, held = parted(rows)
+    shared = spark.sparkContext.broadcast((toxic, ordinary))  # bounded by MAX_TOXIC, MAX_ORDINARY and MAX_CHARS
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [train_pair(*shared.value, seed + k) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in pairs], pa.binary()), pa.array([o for _, o in pairs], pa.binary())], names=["k", "toxic", "ordinary"])
+
+    got = spark.range(0, MEMBERS, 1, MEMBERS).mapInArrow(members, "k long, toxic binary, ordinary binary").collect()
+    model = Model(tuple((bytes(r.toxic), bytes(r.ordinary)) for r in sorted(got, key=lambda r: r.k)), THRESHOLD)
+    docs = spark.createDataFrame([(y, t) for t, y in held], "doc_id long, text string")
+    scored = [(r.score, r.doc_id) for r in scores(docs, model).collect() if r.score is not None]
+    return Model(model.dictionaries, best_threshold(scored))
 
 
 def labelled(df: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
@@ -186,4 +202,4 @@ def scores(df: DataFrame, model: Model | None) -> DataFrame:
             got = [of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64()), pa.array([s is not None and s >= least for s in got], pa.bool_())], names=["doc_id", "score", "found"])
 
-    return rows.mapInArrow(score, "doc_id long, score double, found boolean")
+    return spread(rows).mapInArrow(score, "doc_id long, score double, found boolean")

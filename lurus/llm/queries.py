@@ -110,7 +110,7 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def toxic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return abuse.scores(docs, abuse.fit(abuse.labelled(docs, table(spark, sf_dir, "doc_labels"))))
+    return abuse.scores(docs, abuse.fit(spark, abuse.labelled(docs, table(spark, sf_dir, "doc_labels"))))
 
 
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -290,14 +290,14 @@ def test_toxic_documents_are_found(spark):
     rows = toy()
     random.Random(1).shuffle(rows)
     train, test = rows[:300], rows[300:]
-    model = abuse.fit(train)
+    model = abuse.fit(spark, train)
     df = spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(test)] + [(900, None, ""), (901, "", ""), (902, " .!", ""), (903, test[0][0] * 300, "")], "doc_id bigint, text string, score string")
     got = {r.doc_id: (r.score, r.found) for r in abuse.scores(df, model).collect()}
     hits = sum(got[i][1] == bool(y) for i, (_, y) in enumerate(test))
     assert hits / len(test) > 0.95
     assert got[900] == got[901] == got[902] == (None, False) and len(got) == len(test) + 4
     assert abuse.scores(df.limit(0), model).count() == 0
-    assert abuse.fit([("x", 1)]) is None and abuse.scores(df, None).where("found").count() == 0
+    assert abuse.fit(spark, [("x", 1)]) is None and abuse.scores(df, None).where("found").count() == 0
 
 
 def test_windows_fold_disguises():
