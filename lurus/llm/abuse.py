@@ -33,9 +33,11 @@ from lurus.plans.session import spread
 WORDS, STEP, LEVEL = 6, 2, 19
 #: Bytes of each half of a dictionary, and number of dictionary pairs.
 HALF, MEMBERS = 120_000, 3
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 5000, 20_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 8000, 20_000
 #: Ordinary windows that compete for the ordinary dictionary, and the quantiles of their scores above which windows count as toxic, round by round.
-RIVALS, QUANTILES = 12_000, (0.98, 0.995, 0.998, 0.998)
+RIVALS, QUANTILES = 50_000, (0.98, 0.995, 0.998, 0.998)
+#: Ordinary windows that score as high as this quantile of the chosen toxic ones are taken for wrong labels and stay out of the ordinary dictionary.
+SURE = 0.5
 FOLDS = 4
 #: Used where too few labels are left to calibrate.
 THRESHOLD, LEAST_LABELS = 8.0, 8
@@ -115,9 +117,9 @@ def train_pair(toxic: list[list[str]], ordinary: list[list[str]], seed: int) ->
     """Dictionaries from the windows of toxic and of ordinary documents."""
     rng = random.Random(seed)
     order = rng.sample(ordinary, len(ordinary))
-    half = len(order) // 2
+    few = max(1, len(order) // 4)
     pool = lambda docs: list(dict.fromkeys(w for ws in docs for w in ws))
-    common, rivals = head(pool(order[:half]), HALF), pool(order[half:])[:RIVALS]
+    common, rivals = head(pool(order[:few]), HALF), pool(order[few:])[:RIVALS]
     chosen, ranked = toxic, rivals
     for quantile in QUANTILES:
         scores: dict[str, int] = {}
@@ -134,7 +136,9 @@ def train_pair(toxic: list[list[str]], ordinary: list[list[str]], seed: int) ->
         ladder = sorted(scores.values())
         least = max(ladder[int(len(ladder) * quantile)] + 1, 2) if ladder else 2
         chosen = [[w for s, w in ws if s >= least] for ws in scored]
-        ranked = sorted(rivals, key=lambda w: -scores[w])
+        sure = sorted(s for ws in scored for s, _ in ws if s >= least)
+        most = sure[int(len(sure) * SURE)] if sure else 2**31
+        ranked = sorted((w for w in rivals if scores[w] < most), key=lambda w: -scores[w])
     own = [w for ws in chosen for w in ws]
     own = head(rng.sample(own, len(own)), HALF)
     size = sum(len(w.encode()) + 1 for w in own)
