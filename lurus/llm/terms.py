@@ -1,9 +1,9 @@
 """Problem 4: how often every distinct term occurs and in how many records, by recursive radix spilling.
 
-A term is a longest run of letters and digits, in lower case. Records are made distinct, split into terms and counted within each map task first, so a
-term that is in every record is one row a task. These partial counts are spilled to the shared folder by the highest bits of the term's hash; a
+A term is a longest run of letters and digits, in lower case. Records are made distinct, split into terms and added up within each map task first, so a
+term that is in every record is a few rows a task. These partial counts are spilled to the shared folder with the hash of their term, whose highest bits name the partition; a
 partition with more than `limit` rows is split by its next bits, again and again, until each leaf fits a task. DuckDB aggregates every leaf out of
-core. Terms of equal hash stay together however deep the split; of one term there are at most as many rows as map tasks.
+core. Terms of equal hash stay together however deep the split; of one term there are a few rows for each map task.
 
 Defined results: null, empty and wordless texts and null record ids hold no terms; repeated rows count once; a record of several different texts has the
 terms of all of them; a very long text is one row that is split whole; empty tables give an empty result; further columns are ignored.
@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurus.operators.resources import small
 from lurus.plans.session import checkpointed, staged
 
 BITS = 6
+#: Rows that a task holds while it adds up.
+COMBINED = 500_000
 COUNTS = "field_name string, term string, n_records long, n_occurrences long"
 
 
@@ -28,10 +31,39 @@ def terms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{Nd}]+)"), F.lit(1)), F.lower)
 
 
-def record_terms(texts: DataFrame) -> DataFrame:
-    """(field_name, record, term, n) of (field_name, record, text): how often each record has each term."""
-    rows = texts.where("record is not null and text is not null").distinct().repartition("field_name", "record")
-    return rows.select("field_name", "record", F.explode(terms(F.col("text"))).alias("term")).groupBy("field_name", "record", "term").agg(F.count("*").alias("n"))
+def partial_counts(texts: DataFrame) -> DataFrame:
+    """(field_name, term, n_records, n_occurrences) of (field_name, record, text), added up within tasks only.
+
+    Nearly all records have one text, whose different terms are its record's. Only records of several texts have theirs brought together, by term, so
+    that a record which holds a third of all rows is spread over its terms.
+    """
+    rows = texts.where("record is not null and text is not null").distinct()
+    several = rows.groupBy("field_name", "record").agg(F.count("*").alias("texts")).where("texts > 1").select("field_name", "record", F.lit(True).alias("several"))
+    flagged = rows.join(small(checkpointed(several)), ["field_name", "record"], "left").select("field_name", "record", "several", terms(F.col("text")).alias("ts"))
+    # each occurrence of a term, and once each different term where the text is the record's only one
+    count = lambda r, o: lambda t: F.struct(t.alias("term"), F.lit(r).cast("long").alias("n_records"), F.lit(o).cast("long").alias("n_occurrences"))
+    both = F.concat(F.transform(F.array_distinct("ts"), count(1, 0)), F.transform("ts", count(0, 1)))
+    alone = flagged.where("several is null").select("field_name", F.explode(both).alias("t")).select("field_name", "t.*")
+    shared = flagged.where("several").select("field_name", "record", F.explode("ts").alias("term")).groupBy("field_name", "record", "term").agg(F.count("*").alias("n_occurrences")).select("field_name", "term", F.lit(1).cast("long").alias("n_records"), "n_occurrences")
+    return alone.union(shared).mapInArrow(combine, COUNTS)
+
+
+def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up a task's counts, a bounded number of rows at a time."""
+    held, rows = [], 0
+    for batch in _ended(batches):
+        if batch is not None:
+            held.append(batch)
+            rows += batch.num_rows
+        if held and (batch is None or rows >= COMBINED):
+            got = pa.Table.from_batches(held).group_by(["field_name", "term"]).aggregate([("n_records", "sum"), ("n_occurrences", "sum")])
+            held, rows = [], 0
+            yield from got.select(["field_name", "term", "n_records_sum", "n_occurrences_sum"]).rename_columns(["field_name", "term", "n_records", "n_occurrences"]).combine_chunks().to_batches(50_000)
+
+
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def aggregate_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,9 +100,8 @@ def radix_leaves(spilled: DataFrame, limit: int) -> list[tuple[int, int]]:
 
 def count_terms(texts: DataFrame, limit: int = 2_000_000) -> DataFrame:
     """(field_name, term, n_records, n_occurrences) of (field_name, record, text)."""
-    by_record = record_terms(texts)
-    partial = by_record.groupBy("field_name", "term", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n_records"), F.sum("n").alias("n_occurrences"))
-    spilled = staged(partial.select("field_name", "term", "n_records", "n_occurrences", F.xxhash64("field_name", "term").alias("h")), "radix")
+    partial = partial_counts(texts)
+    spilled = staged(partial.withColumn("h", F.xxhash64("field_name", "term")), "radix")
     leaves = radix_leaves(spilled, limit)
     depths = sorted({d for d, _ in leaves})
     deep = {d: [p for k, p in leaves if k == d] for d in depths}
