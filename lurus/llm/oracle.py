@@ -27,10 +27,10 @@ n AS (SELECT split, sum(available)::BIGINT AS n FROM h GROUP BY 1),
 r AS (SELECT t.split, t.category, coalesce(n, 0) AS n, coalesce(available, 0) AS available, greatest(min_rows::DOUBLE, target_share * sample_fraction * coalesce(n, 0)) AS wanted
 FROM (SELECT DISTINCT split, category, target_share, sample_fraction, min_rows FROM sample_targets) t LEFT JOIN h USING (split, category) LEFT JOIN n ON n.split = t.split)"""
 
-_P4 = """WITH raw AS (SELECT 'kalimat_koreksi' AS field_name, id::BIGINT AS record, kalimat_koreksi AS text FROM predictions
-UNION ALL SELECT 'token_benar', ann_id, e.token_benar FROM (SELECT ann_id, unnest(s.errors) AS e FROM (SELECT ann_id, unnest(sentences) AS s FROM annotations)) WHERE e IS NOT NULL
-UNION ALL SELECT 'formal', rule_id, formal FROM algospeak_dict),
-r AS (SELECT DISTINCT * FROM raw WHERE record IS NOT NULL AND text IS NOT NULL), t AS (SELECT field_name, record, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+'))) AS term FROM r),
+_P4 = """WITH raw AS (SELECT 'kalimat_koreksi' AS field_name, id::BIGINT AS record, kalimat_koreksi AS text FROM (SELECT DISTINCT id, kalimat_koreksi FROM predictions)
+UNION ALL SELECT 'token_benar', ann_id, e.token_benar FROM (SELECT ann_id, unnest(s.errors) AS e FROM (SELECT ann_id, unnest(sentences) AS s FROM (SELECT DISTINCT ann_id, sentences FROM annotations))) WHERE e IS NOT NULL
+UNION ALL SELECT DISTINCT 'formal', rule_id, formal FROM algospeak_dict),
+r AS (SELECT * FROM raw WHERE record IS NOT NULL AND text IS NOT NULL), t AS (SELECT field_name, record, lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+'))) AS term FROM r),
 n AS (SELECT field_name, count(DISTINCT record) AS records FROM t GROUP BY 1), c AS (SELECT field_name, term, count(DISTINCT record) AS n_records, count(*) AS n_occurrences FROM t GROUP BY 1, 2),
 m AS (SELECT field_name, term, n_records, n_occurrences, CASE WHEN n_records <= 1 THEN 'rare' WHEN n_records > 0.1 * records THEN 'common' END AS mark FROM c JOIN n USING (field_name))"""
 

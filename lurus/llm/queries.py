@@ -63,7 +63,10 @@ def p6_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def term_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(field_name, record, text) of the three fields whose terms are counted."""
     predicted = table(spark, sf_dir, "predictions").select(F.lit("kalimat_koreksi").alias("field_name"), F.col("id").cast("long").alias("record"), F.col("kalimat_koreksi").alias("text"))
-    tokens_ = table(spark, sf_dir, "annotations").select("ann_id", F.explode("sentences").alias("s")).select("ann_id", F.explode("s.errors.token_benar").alias("t"))
+    # a record's corrected tokens are one text, a line each: rows are neither blown up nor told apart by token
+    of_sentence = lambda s: F.coalesce(F.transform(F.filter(s["errors"], lambda e: e.isNotNull()), lambda e: e["token_benar"]), F.array().cast("array<string>"))
+    joined = F.array_join(F.flatten(F.transform(F.filter("sentences", lambda s: s.isNotNull()), of_sentence)), "\n")
+    tokens_ = table(spark, sf_dir, "annotations").select("ann_id", joined.alias("t"))
     rules = table(spark, sf_dir, "algospeak_dict").select(F.lit("formal"), F.col("rule_id").cast("long"), "formal")
     return predicted.union(tokens_.select(F.lit("token_benar"), F.col("ann_id").cast("long"), "t")).union(rules)
 
