@@ -46,6 +46,11 @@ def exclusive_percentile(ascending: Column, i: Column) -> Column:
     return (F.element_at(ascending, j) * (100 - d) + F.element_at(ascending, j + 1) * d) / 100
 
 
+def place_of(ascending: Column, share: float) -> Column:
+    """The value at place int(share * n) of a sorted array, counted from 0: latency medians and tails are read so."""
+    return F.get(ascending, F.floor(share * F.size(ascending)).cast("int"))
+
+
 def binomial_p(k: Column, n: Column) -> Column:
     """Exact two-sided p of k or fewer of n fair coins, at most 1; n = 0 gives 1. Summed in logs."""
     start = F.struct((-n * F.log(F.lit(2.0))).alias("lt"), F.lit(0.0).alias("acc"))

@@ -117,3 +117,20 @@ def differing_chars(a: Column, b: Column) -> Column:
     n = F.least(F.length(a), F.length(b))
     at = F.zip_with(F.slice(chars(a), F.lit(1), n), F.slice(chars(b), F.lit(1), n), lambda x, y: (x != y).cast("int"))
     return F.aggregate(at, F.lit(0), lambda s, x: s + x) + F.abs(F.length(a) - F.length(b))
+
+
+def exact_match(a: Column, b: Column) -> Column:
+    """Equal but for case and white space at the ends."""
+    return F.lower(stripped(a)) == F.lower(stripped(b))
+
+
+def megabytes(size: Column) -> Column:
+    return F.concat(F.format_number(size / 1e6, 1), F.lit(" MB"))
+
+
+def percent(share: Column) -> Column:
+    return F.concat(F.format_number(100 * share, 1), F.lit(" %"))
+
+
+def bar(share: Column, width: int = 40) -> Column:
+    return F.repeat(F.lit("█"), F.round(share * width).cast("int"))

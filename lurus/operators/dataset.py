@@ -57,6 +57,29 @@ def majority(values: Column, fallback: Column) -> Column:
     return F.coalesce(F.array_max(scored)["v"], fallback)
 
 
+def in_split(split: Column, name: str) -> Column:
+    """Whether a row is of a split; `val` may be spelled `valid`."""
+    bare = F.lower(squeeze(split))
+    return F.coalesce(bare.isin("val", "valid", "validation") if name == "val" else bare == name, F.lit(False))
+
+
+def with_hypotheses(rows: DataFrame, id_col: str, source: str, hyps: DataFrame) -> DataFrame:
+    """Adds hyp and gec_score from (id, hyp, gec_score); a row without a hypothesis keeps its source and has no score."""
+    joined = rows.join(hyps.select(F.col("id").alias(id_col), "hyp", "gec_score"), id_col, "left")
+    return joined.withColumn("hyp", F.coalesce("hyp", F.col(source)))
+
+
+def tag_inventory(df: DataFrame, split: str, text: str, id_col: str, samples: int = 3) -> DataFrame:
+    """(split, tag, n, samples): the tags that texts start with, `untagged` for none, and the texts of the lowest ids. No group is gathered: the samples
+    are the least of bounded aggregates."""
+    rows = df.select(F.col(split).alias("split"), F.coalesce(tag_of(F.col(text)), F.lit("untagged")).alias("tag"), F.col(id_col).alias("i"), F.col(text).alias("t"))
+    w = Window.partitionBy("split", "tag").orderBy("i")
+    few = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= samples).groupBy("split", "tag").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("samples"))
+    counts = rows.groupBy("split", "tag").agg(F.count("*").alias("n"))
+    same = F.col("c.split").eqNullSafe(F.col("f.split")) & (F.col("c.tag") == F.col("f.tag"))
+    return counts.alias("c").join(few.alias("f"), same).select("c.split", "c.tag", "n", "samples")
+
+
 def chosen_source(alternative: Column, source: Column) -> Column:
     """The alternative where it has text, else the source."""
     return F.coalesce(F.when(squeeze(alternative) != "", alternative), source)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurus.functions.stats import exclusive_percentile, ratio
+from lurus.functions.stats import ratio
+from lurus.plans.indexing import row_index
+from lurus.plans.session import checkpointed
 
 NO_SCORE = -99.0
 
@@ -26,11 +28,20 @@ def guarded(source: Column, hyp: Column, most: float) -> Column:
 
 
 def thresholds(df: DataFrame, score_: str, percentiles: tuple[int, ...] = tuple(range(0, 101, 10))) -> DataFrame:
-    """(q, tau): the scores at the percentiles; 0 and 100 are the extremes, the others by the exclusive rule."""
-    values = df.agg(F.sort_array(F.collect_list(score_)).alias("v"))
-    q = F.explode(F.array(*(F.lit(p) for p in percentiles))).alias("q")
-    tau = F.when(F.col("q") == 0, F.get("v", F.lit(0))).when(F.col("q") == 100, F.get("v", F.size("v") - 1)).otherwise(exclusive_percentile(F.col("v"), F.col("q")))
-    return values.where(F.size("v") >= 2).select("v", q).select("q", tau.alias("tau"))
+    """(q, tau): the scores at the percentiles; 0 and 100 are the extremes, the others by the exclusive rule. Fewer than two scores give none.
+
+    Scores are numbered in range partitions; of the numbered ones only the two beside each cut point are looked at.
+    """
+    rows = row_index(df.select(score_), score_)
+    n = rows.count()
+    at = {q: (0, 0, 0) if q == 0 else (n - 1, n - 1, 0) if q == 100 else _beside(q, n) for q in percentiles if n >= 2}
+    values = {r.i: r[score_] for r in rows.where(F.col("i").isin([i for lo, hi, _ in at.values() for i in (lo, hi)])).collect()}
+    return df.sparkSession.createDataFrame([(q, (values[lo] * (100 - d) + values[hi] * d) / 100) for q, (lo, hi, d) in at.items()], "q int, tau double")
+
+
+def _beside(q: int, n: int) -> tuple[int, int, int]:
+    j = min(max(q * (n + 1) // 100, 1), n - 1)
+    return j - 1, j, q * (n + 1) - 100 * j
 
 
 def sweep(df: DataFrame, score_: str, edits_src: str, edits_hyp: str, length: str, taus: DataFrame) -> DataFrame:
@@ -52,5 +63,13 @@ def best(sweep_: DataFrame, no_correction: Column) -> DataFrame:
 
 
 def running_mean(df: DataFrame, value: str, by: str) -> DataFrame:
-    """The mean of all rows so far, in order; a report over one evaluation set."""
-    return df.withColumn("running", F.avg(value).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, 0)))
+    """Adds running: the mean of all rows so far, in the order of a column that identifies rows. Sums start anew in each range partition and are carried on
+    by one offset a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = checkpointed(df.repartitionByRange(n, by).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    so_far = Window.partitionBy("_part").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+    own = rows.withColumn("_s0", F.coalesce(F.sum(value).over(so_far), F.lit(0.0))).withColumn("_n0", F.count(value).over(so_far))
+    return own.join(F.broadcast(offsets), "_part").withColumn("running", F.try_divide(F.col("_s") + F.col("_s0"), F.col("_n") + F.col("_n0"))).drop("_part", "_s", "_n", "_s0", "_n0")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurus.functions.stats import binomial_p, draw, ratio, uniform
+from lurus.functions.stats import binomial_p, draw, f_beta, ratio, uniform
 from lurus.operators.resources import small
 from lurus.plans.indexing import row_index
 
@@ -45,6 +45,15 @@ def ratio_interval(df: DataFrame, by: str, num: str, den: str, b: int = 1000, se
     return point.join(values).select("n", "point", F.when(F.col("n") >= 2, lo).alias("lo"), F.when(F.col("n") >= 2, hi).alias("hi"))
 
 
+def f_interval(df: DataFrame, by: str, b: int = 1000, seed: int = 42, beta: float = 0.5) -> DataFrame:
+    """One row: F and its interval of rows with tp, fp, fn; the upper place is min(int(0.975 b), b - 1). Below two rows both ends are the point."""
+    score = f_beta(F.col("tp"), F.col("fp"), F.col("fn"), beta)
+    point = df.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn"))).select("n", score.alias("point"))
+    values = replicates(df, by, b, seed, "tp", "fp", "fn").agg(F.sort_array(F.collect_list(score)).alias("v"))
+    lo, hi = interval(F.col("v"), inclusive=True)
+    return point.join(values).select("n", "point", F.when(F.col("n") >= 2, lo).otherwise(F.col("point")).alias("lo"), F.when(F.col("n") >= 2, hi).otherwise(F.col("point")).alias("hi"))
+
+
 def paired_bootstrap(df: DataFrame, by: str, diff: str, b: int = 5000, seed: int = 42) -> DataFrame:
     """One row: mean difference, interval and p of resampled per-row differences."""
     n = df.count()

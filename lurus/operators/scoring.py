@@ -71,3 +71,20 @@ def scope_counts(scope: DataFrame, changes: DataFrame) -> DataFrame:
     rows = scope.join(changes, "low", "left").withColumn("to", F.coalesce("out", "low"))
     hit = F.col("gold").isNotNull()
     return rows.agg(*prf(F.count_if(hit & (F.col("to") == F.col("gold"))), F.count_if(~hit & F.col("clean") & (F.col("to") != F.col("low"))), F.count_if(hit & (F.col("to") != F.col("gold")))))
+
+
+def scope_report(scope: DataFrame, changes: DataFrame, limit: int = 20) -> DataFrame:
+    """(id, pos, low, predicted, gold, hit) of the first tokens that have a target."""
+    rows = scope.where("gold is not null").join(changes.select("low", "out"), "low", "left").withColumn("predicted", F.coalesce("out", "low"))
+    return rows.select("id", "pos", "low", "predicted", "gold", (F.col("predicted") == F.col("gold")).alias("hit")).orderBy("id", "pos").limit(limit)
+
+
+def token_function_counts(scope: DataFrame, function) -> DataFrame:
+    """tp, fp, fn of any Python function from token to token, called once for each distinct core, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def udf(cores):
+        return cores.map(function)
+
+    low = scope.select("low").distinct()
+    return scope_counts(scope, low.select("low", udf("low").alias("out")).where("out <> low"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurus.functions import text as T
-from lurus.operators import align, corrupt, dataset, plugins, quality, resources, sampling
+from lurus.operators import align, corrupt, dataset, plugins, quality, resources, sampling, synthetic
 from lurus.plans.evaluation import PRED, ocr, predictions
 from lurus.plans.registry import Registry, draw, over, squeezed, token_list
 from lurus.plans.session import checkpointed, shared_dir, table
@@ -450,6 +450,59 @@ def repeated_rows(spark, sf_dir):
     return corrupt.repeated(predictions(spark, sf_dir).select("id"), 3)
 
 
+NAMES = {"EJA": "spelling", "SPE": "spelling", "TIP": "typographic", "TYP": "typographic", "ALG": "algospeak"}
+
+
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = dataset.mapped(F.upper(F.substring(T.squeeze(F.col("category")), 1, 3)), NAMES, "other")
+    return metadata(spark, sf_dir).select(F.col("image_id").alias("id"), name.alias("category"), F.col("src_text").alias("src"), F.col("trg_text").alias("trg"))
+
+
+def damage_weights(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("spelling", 0.4), ("typographic", 0.3), ("algospeak", 0.2), ("other", 0.1)], "category string, weight double")
+
+
+@query()
+def synthetic_corpus(spark, sf_dir):
+    rules = resources.injection_rules(table(spark, sf_dir, "algospeak_dict"))
+    return synthetic.generated(clean_texts(spark, sf_dir), damage_weights(spark), 500, rules)
+
+
+@query()
+def held_out_set(spark, sf_dir):
+    rules = resources.injection_rules(table(spark, sf_dir, "algospeak_dict"))
+    return synthetic.held_out(clean_texts(spark, sf_dir), table(spark, sf_dir, "predictions"), "kalimat_koreksi", damage_weights(spark), 300, rules)
+
+
+@query(f"SELECT lower({squeezed('split')}) AS split, CASE WHEN image_id % 3 = 0 THEN 'untagged' ELSE 'semantic' END AS tag, count(*) AS n FROM {META} WHERE src_text IS NOT NULL AND NOT starts_with(src_text, '<') GROUP BY 1, 2")
+def tag_inventory(spark, sf_dir):
+    rows = metadata(spark, sf_dir).where(F.col("src_text").isNotNull() & ~F.col("src_text").startswith("<"))
+    tagged = rows.select("image_id", F.lower(T.squeeze(F.col("split"))).alias("split"), F.when(F.col("image_id") % 3 == 0, F.col("src_text")).otherwise(F.concat(F.lit("<semantic> "), "src_text")).alias("t"))
+    return dataset.tag_inventory(tagged, "split", "t", "image_id").drop("samples")
+
+
+@query(f"SELECT image_id FROM {META} WHERE lower({squeezed('split')}) IN ('val', 'valid', 'validation')")
+def validation_rows(spark, sf_dir):
+    return metadata(spark, sf_dir).where(dataset.in_split(F.col("split"), "val")).select("image_id")
+
+
+@query("SELECT crop_id, teks_ocr, coalesce(p.hyp, o.teks_ocr) AS hyp, p.gec_score AS gec_score FROM (SELECT DISTINCT crop_id, teks_ocr FROM ocr_outputs) o LEFT JOIN (SELECT DISTINCT id, hyp, gec_score FROM predictions WHERE id % 5 <> 0) p ON crop_id = id")
+def hypotheses_or_source(spark, sf_dir):
+    """OCR rows with their hypothesis; every fifth has none and falls back on its source."""
+    hyps = table(spark, sf_dir, "predictions").where("id % 5 <> 0").select(F.col("id").cast("long").alias("id"), "hyp", "gec_score").distinct()
+    return dataset.with_hypotheses(ocr(spark, sf_dir), "crop_id", "teks_ocr", hyps)
+
+
+@query("""SELECT o.crop_id AS crop_id, s.sentence_id AS sentence_id FROM (SELECT DISTINCT crop_id, regexp_extract(crop, '([^/]+?)(\\.[^./]*)?$', 1) AS k FROM ocr_outputs) o
+JOIN (SELECT DISTINCT ann_id, regexp_extract(filename, '([^/]+?)(\\.[^./]*)?$', 1) || '_' || s.sentence_id AS k, s.sentence_id AS sentence_id FROM (SELECT ann_id, filename, unnest(sentences) AS s FROM annotations) WHERE s.sentence_id IS NOT NULL) s USING (k)""")
+def crops_of_sentences(spark, sf_dir):
+    """Crops joined to the sentences they show, by `<file>_<sentence>` keys."""
+    a = table(spark, sf_dir, "annotations").select("ann_id", "filename", F.explode("sentences").alias("s")).where("s.sentence_id is not null")
+    keys = a.select("ann_id", dataset.stem_key(F.col("filename"), F.col("s.sentence_id")).alias("k"), "s.sentence_id").distinct()
+    crops = table(spark, sf_dir, "ocr_outputs").select("crop_id", F.regexp_extract("crop", r"([^/]+?)(\.[^./]*)?$", 1).alias("k")).distinct()
+    return crops.join(keys, "k").select("crop_id", "sentence_id")
+
+
 # Plug-ins and streaming
 
 

