@@ -20,8 +20,9 @@ def facts(df: DataFrame, systems: dict[str, str], ref: str, mode: str, keep: Seq
     out = [F.length("_r").alias("r_len"), F.size(T.tokens(F.col("_r"))).alias("r_words")]
     for n in systems:
         h = F.col(f"_{n}")
-        out += [T.char_edits(h, F.col("_r")).alias(f"c_{n}"), T.word_edits(h, F.col("_r")).alias(f"w_{n}"), (h == F.col("_r")).cast("int").alias(f"x_{n}"), T.rate(T.char_edits(h, F.col("_r")), F.length("_r"), h, "edits").alias(f"cer_{n}")]
-    return base.select(*keep, *out)
+        out += [T.char_edits(h, F.col("_r")).alias(f"c_{n}"), T.word_edits(h, F.col("_r")).alias(f"w_{n}"), (h == F.col("_r")).cast("int").alias(f"x_{n}")]
+    counted = base.select(*keep, *out)
+    return counted.select("*", *((F.col(f"c_{n}") / F.greatest("r_len", F.lit(1))).alias(f"cer_{n}") for n in systems))
 
 
 def with_total(df: DataFrame, group: str, *metrics: Column) -> DataFrame:
