@@ -40,6 +40,8 @@ g AS (SELECT image_id, min(image_id) OVER (PARTITION BY least(a, b), greatest(a,
 SQL: dict[str, str] = {
     "p2_found": f"{_P2} SELECT split, category FROM r WHERE available < wanted",
     "p2_report": f"{_P2} SELECT split, category, n, available, round(wanted, 6) AS wanted, least(ceil(wanted)::BIGINT, available) AS quota, available < wanted AS exhausted FROM r",
+    "p2_sample": f"""{_P2}, q AS (SELECT split, category, max(least(ceil(wanted)::BIGINT, available)) AS quota FROM r GROUP BY 1, 2), m AS (SELECT image_id, {_SPLIT} AS split, {_CATEGORY} AS category FROM syn_metadata)
+SELECT split, category, image_id FROM m JOIN q USING (split, category) QUALIFY row_number() OVER (PARTITION BY split, category ORDER BY ('0x' || substr(md5(concat_ws('|', '42', image_id)), 1, 15))::BIGINT, image_id) <= quota""",
     "p3_found": f"""WITH RECURSIVE k AS (SELECT image_id AS id, parent_image_id AS parent, {_canonical('trg_text')} AS t FROM syn_metadata),
 e AS (SELECT id AS a, min(id) OVER (PARTITION BY t) AS b FROM k WHERE t <> '' UNION SELECT id, parent FROM k WHERE parent IN (SELECT id FROM k)),
 u AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
