@@ -1,11 +1,13 @@
 """Problem 7: token ids of texts by a byte-level BPE, folded in the JVM.
 
-A text is cut into words by the tokenizer's pattern. Only distinct words are encoded: the word's bytes, each a character of Latin-1, are folded by
-higher-order functions, one ranked merge a step: of all neighbours whose joint bytes are a token the pair of lowest rank, the leftmost of equals, is
-merged, until no pair is a token. The ranks are one literal: an array of small maps, addressed by the CRC of the piece, so a look-up reads a handful of
-entries. Words of more than LONG bytes are merged in Python with a heap, to the same result. Ids of words are joined back to the texts: by broadcast
-while the dictionary is below a checked size, else only words that make up a ten-thousandth of all words or more (10,000 at most) are broadcast and the
-others, none of which can be skewed, are joined by shuffle.
+A text is cut into words by the tokenizer's pattern. A word's bytes, each a character of Latin-1, are folded by higher-order functions, one ranked merge a
+step: of all neighbours whose joint bytes are a token the pair of lowest rank, the leftmost of equals, is merged, until no pair is a token. The ranks are
+one literal: an array of small maps, addressed by the CRC of the piece, so a look-up reads a handful of entries.
+
+Distinct words are counted first, with map-side combine; those that make up HOT_SHARE of all words or more, of which there can be 1 / HOT_SHARE at most,
+are folded once and become a second literal. Each text is then encoded where it is read: frequent words are looked up, the rare rest is folded in place,
+and no text, word or id is ever shuffled or joined. Texts with a word of more than LONG bytes are encoded in Python, whose heap merges long words to the
+same ids in n log n.
 
 Defined results: null and empty texts have the empty list; repeated rows and ids are encoded each by itself; texts of any length are encoded whole;
 special tokens' strings are ordinary text; an empty table gives an empty result; further columns are ignored.
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurus.plans.session import checkpointed
+from lurus.plans.session import checkpointed, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's word pattern; `\s` is spelled out, as Java's knows ASCII only.
@@ -32,10 +34,8 @@ SPACE = r"\t-\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CELLS = 16384
 LONG = 240
-#: The dictionary is broadcast up to so many words and bytes.
-BROADCAST_WORDS, BROADCAST_BYTES = 400_000, 12_000_000
-#: Beyond, words of at least this share of all words are; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1e-4
+#: Words of at least this share of all words are folded once for all texts.
+HOT_SHARE = 5e-6
 NONE = 2**31 - 1
 
 
@@ -112,45 +112,57 @@ def heap_merges(word: bytes, rank: dict[bytes, int]) -> list[int]:
     return [rank[p] for p in piece if p]
 
 
-def _long_words(path: str):
+def _whole_texts(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank, known = ranks(path), {}
         for batch in batches:
-            ids = [heap_merges(w.encode(), ranks(path)) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+            out = []
+            for words in batch.column(1).to_pylist():
+                ids: list[int] = []
+                for w in words:
+                    if w not in known:
+                        known = known if len(known) < 100_000 else {}
+                        known[w] = heap_merges(w.encode(), rank)
+                    ids += known[w]
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
 
     return encode
 
 
-def text_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, pos, word): the words of each text; a text without any has one row of nulls."""
-    words = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0))
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
-    return rows.select("row", "id", F.posexplode_outer("words").alias("pos", "word"))
+def words_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
+
+
+def latin(word: Column) -> Column:
+    """A word's bytes as characters."""
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
+def _cell(word: Column) -> Column:
+    return (F.crc32(word.cast("binary")) % CELLS + 1).cast("int")
 
 
-def dictionary(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(word, n, ids) of each distinct word."""
-    distinct = words.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
-    latin = F.decode(F.encode("word", "UTF-8"), "ISO-8859-1")
-    short = distinct.where(F.octet_length("word") <= LONG).select("word", "n", fold_merges(latin, rank_map(path)).alias("ids"))
-    long_ = distinct.where(F.octet_length("word") > LONG).mapInArrow(_long_words(path), "word string, n long, ids array<int>")
-    return short.union(long_)
+def frequent_words(words: DataFrame, path: str = VOCABULARY) -> Column:
+    """The literal array of maps from a frequent word to its ids, of (word), which is scanned once."""
+    counts = checkpointed(words.groupBy("word").agg(F.count("*").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") >= max(2, total * HOT_SHARE)).select("word", fold_merges(latin(F.col("word")), rank_map(path)).alias("ids"))
+    cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS)]
+    for r in hot.collect():  # 1 / HOT_SHARE rows at most
+        cells[zlib.crc32(r.word.encode()) % CELLS][r.word] = list(r.ids)
+    return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(row, id, ids): the token ids of each row's text."""
-    words = text_words(df, id_col, text_col)
-    known = checkpointed(dictionary(words, path))
-    size = known.agg(F.count("*").alias("words"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.octet_length("word") + 4 * F.size("ids")), F.lit(0)).alias("bytes")).first()
-    ids = known.select("word", "ids")
-    if size.words <= BROADCAST_WORDS and size.bytes <= BROADCAST_BYTES:
-        found = words.join(F.broadcast(ids), "word", "left")
-    else:
-        hot = F.col("n") >= max(1, size.all * HOT_SHARE)
-        met = words.join(F.broadcast(known.where(hot).select("word", "ids")), "word", "left")
-        found = met.where("ids is not null or word is null").unionByName(met.where("ids is null and word is not null").drop("ids").join(known.where(~hot).select("word", "ids"), "word"))
-    parts = found.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("parts"))
-    return parts.select("row", "id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    """(id, ids): the token ids of each row's text."""
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", words_of(F.col("t")).alias("words"))
+    too_long = F.exists("words", lambda w: F.octet_length(w) > LONG)
+    table, hot = rank_map(path), frequent_words(rows.select(F.explode("words").alias("word")).where(F.octet_length("word") <= LONG), path)
+    ids_of = lambda w: F.coalesce(F.try_element_at(F.element_at(hot, _cell(w)), w), fold_merges(latin(w), table))
+    most = rows.where(~too_long).select("id", F.flatten(F.transform("words", ids_of)).alias("ids"))
+    rest = rows.where(too_long).mapInArrow(_whole_texts(path), f"id {dict(rows.dtypes)['id']}, ids array<int>")
+    return most.union(rest)
 
 
 def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:

@@ -246,9 +246,9 @@ def test_long_words_merge_alike(reference):
         assert tokens.heap_merges(w.encode(), tokens.ranks()) == reference.encode_ordinary(w)
 
 
-def test_dictionary_by_shuffle(spark, reference, monkeypatch):
-    monkeypatch.setattr(tokens, "BROADCAST_WORDS", 0)
-    monkeypatch.setattr(tokens, "HOT_SHARE", 0.1)
+@pytest.mark.parametrize("share", [0.0, 0.2, 2.0])
+def test_frequent_and_rare_words_alike(spark, reference, monkeypatch, share):
+    monkeypatch.setattr(tokens, "HOT_SHARE", share)
     df = spark.createDataFrame([(i, f"kata ke-{i} dan dan dan") for i in range(50)], "doc_id bigint, text string")
     assert all(list(r.ids) == reference.encode_ordinary(f"kata ke-{r.id} dan dan dan") for r in tokens.encode(df).collect())
 
