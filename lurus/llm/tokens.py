@@ -147,20 +147,22 @@ def frequent_words(words: DataFrame, path: str = VOCABULARY) -> Column:
     """The literal array of maps from a frequent word to its ids, of (word), which is scanned once."""
     counts = checkpointed(words.groupBy("word").agg(F.count("*").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("n") >= max(2, total * HOT_SHARE)).select("word", fold_merges(latin(F.col("word")), rank_map(path)).alias("ids"))
-    cells: list[dict[str, list[int]]] = [{} for _ in range(CELLS)]
-    for r in hot.collect():  # 1 / HOT_SHARE rows at most
-        cells[zlib.crc32(r.word.encode()) % CELLS][r.word] = list(r.ids)
-    return F.from_json(F.lit(json.dumps(cells, separators=(",", ":"))), "array<map<string,array<int>>>")
+    hot = counts.where(F.col("n") >= max(2, total * HOT_SHARE)).select("word", let(rank_map(path), lambda table: fold_merges(latin(F.col("word")), table)).alias("ids"))
+    cells: list[list[str]] = [[] for _ in range(CELLS)]
+    for r in hot.toLocalIterator():  # 1 / HOT_SHARE rows at most
+        cells[zlib.crc32(r.word.encode()) % CELLS].append(f"{json.dumps(r.word)}:{json.dumps(r.ids, separators=(',', ':'))}")
+    return F.from_json(F.lit("[" + ",".join("{" + ",".join(c) + "}" for c in cells) + "]"), "array<map<string,array<int>>>")
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(id, ids): the token ids of each row's text."""
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", words_of(F.col("t")).alias("words"))
     too_long = F.exists("words", lambda w: F.octet_length(w) > LONG)
-    table, hot = rank_map(path), frequent_words(rows.select(F.explode("words").alias("word")).where(F.octet_length("word") <= LONG), path)
-    ids_of = lambda w: F.coalesce(F.try_element_at(F.element_at(hot, _cell(w)), w), fold_merges(latin(w), table))
-    most = rows.where(~too_long).select("id", F.flatten(F.transform("words", ids_of)).alias("ids"))
+    hot = frequent_words(rows.select(F.explode("words").alias("word")).where(F.octet_length("word") <= LONG), path)
+    ids_of = lambda table, known: lambda w: F.coalesce(F.try_element_at(F.element_at(known, _cell(w)), w), fold_merges(latin(w), table))
+    # each literal stands in the plan once, however often it is read
+    ids = let(rank_map(path), lambda table: let(hot, lambda known: F.flatten(F.transform("words", ids_of(table, known)))))
+    most = rows.where(~too_long).select("id", ids.alias("ids"))
     rest = rows.where(too_long).mapInArrow(_whole_texts(path), f"id {dict(rows.dtypes)['id']}, ids array<int>")
     return most.union(rest)
 
