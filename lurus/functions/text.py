@@ -65,9 +65,9 @@ def join_pieces(text: Column) -> Column:
 
 
 def punct_parts(token: Column) -> tuple[Column, Column, Column]:
-    """Leading ASCII punctuation, core, trailing ASCII punctuation of a token."""
-    part = lambda n: F.regexp_extract(token, r"(?s)^(\p{Punct}*)(.*?)(\p{Punct}*)$", n)
-    return part(1), part(2), part(3)
+    """Leading ASCII punctuation, core, trailing ASCII punctuation of a token. One without any other character is all leading."""
+    lead, middle = F.regexp_extract(token, r"^\p{Punct}*", 0), core(token)
+    return lead, middle, F.substr(token, F.length(lead) + F.length(middle) + 1)
 
 
 def core(token: Column) -> Column:

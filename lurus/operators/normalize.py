@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lurus.functions.text import has_letter, punct_parts, tokens
 from lurus.operators.resources import small
+from lurus.plans.session import checkpointed
 
 #: What a sign may stand for, in order of preference.
 OPTIONS = {"4": "a", "@": "a", "3": "e", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "2": "z", "1": "il", "!": "i", "v": "vu"}
@@ -89,9 +90,16 @@ def normalize(df: DataFrame, id_col: str, text_col: str, words: DataFrame, rules
     Texts are put together again from their changed tokens alone: unchanged texts never enter the second shuffle.
     """
     base = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"), F.col(text_col).isNull().alias("none"))
-    lead, middle, trail = punct_parts(F.col("t"))
-    flat = base.select("id", F.posexplode("ts").alias("pos", "t")).where(has_letter(F.col("t"))).select("id", "pos", lead.alias("lead"), F.lower(middle).alias("low"), trail.alias("trail"))
-    changes = decide(flat.select("low"), words, rules, parts)
-    changed = flat.join(changes, "low").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.concat("lead", "out", "trail")))).alias("new"))
+    renewed = small(changed_tokens(base.select(F.explode("ts").alias("t")), words, rules, parts))
+    hits = base.select("id", F.posexplode("ts").alias("pos", "t")).join(renewed, "t")
+    changed = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "renewed"))).alias("new"))
     text = F.array_join(F.transform("ts", lambda t, i: F.coalesce(F.element_at("new", i), t)), " ")
-    return base.join(changed, "id", "left").select("id", F.when(~F.col("none"), text).alias("normalized"))
+    return base.join(changed, "id", "left").select("id", F.when(~F.col("none"), F.when(F.col("new").isNull(), F.array_join("ts", " ")).otherwise(text)).alias("normalized"))
+
+
+def changed_tokens(occurrences: DataFrame, words: DataFrame, rules: DataFrame, parts: Parts = Parts()) -> DataFrame:
+    """(t, renewed) of (t): the distinct tokens that change. Only distinct tokens are taken apart."""
+    lead, middle, trail = punct_parts(F.col("t"))
+    distinct = occurrences.distinct().where(has_letter(F.col("t"))).select("t", lead.alias("lead"), F.lower(middle).alias("low"), trail.alias("trail"))
+    distinct = checkpointed(distinct)
+    return checkpointed(distinct.join(decide(distinct.select("low"), words, rules, parts), "low").select("t", F.concat("lead", "out", "trail").alias("renewed")))
