@@ -188,6 +188,23 @@ def test_overlaps_against_brute_force(spark):
     assert overlap.cross_pairs(meta(spark, rows).limit(0)).count() == 0
 
 
+def test_edits_spread_evenly_up_to_a_seventh(spark):
+    rng, rows, want = random.Random(5), [], set()
+    for k, n in enumerate([*range(7, 150, 3), 300, 1000]):
+        t = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        for edits in (n // 7, n // 7 + 1):
+            e = list(t)
+            for j in range(edits):
+                e[int((j + 0.5) * n / edits)] = "xyz"[j % 3]
+            rows.append((10 * k + edits - n // 7 + 1, "".join(e), None, "val"))
+        long = "".join(c + "w" * (j % 7 == 3 and j // 7 < n // 7) for j, c in enumerate(t))  # a letter put in, so that the other is the longer text
+        rows += [(10 * k, t, None, "train"), (10 * k + 3, long, None, "test")]
+        want |= {(10 * k, 10 * k + 1), (10 * k, 10 * k + 3)}
+    got = {tuple(r) for r in overlap.cross_pairs(meta(spark, rows)).collect()}
+    assert got == want
+    assert {r.id for r in overlap.overlapped(meta(spark, rows)).collect()} == {e for _, e in want}
+
+
 def test_digests_depend_on_content_alone():
     import pyarrow as pa
 
