@@ -357,6 +357,25 @@ def padded_batches(spark, sf_dir):
     return dataset.padded(ids.withColumn("batch", F.expr("id div 32")), "ids", "batch").select("id", "padded", "mask")
 
 
+# The SQL above cuts texts to 18 tokens; these keep the reference's 128.
+
+
+@query()
+def encoded_whole(spark, sf_dir):
+    return dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=128)
+
+
+@query()
+def decoded_whole(spark, sf_dir):
+    v = checkpointed(vocab(spark, sf_dir))
+    return dataset.decode(dataset.encode(predictions(spark, sf_dir), "id", "hyp", v, bos=True, most=128), "id", "ids", v)
+
+
+@query()
+def padded_batches_whole(spark, sf_dir):
+    return dataset.padded(encoded_whole(spark, sf_dir).withColumn("batch", F.expr("id div 32")), "ids", "batch").select("id", "padded", "mask")
+
+
 @query(f"""WITH lex AS (SELECT DISTINCT lower({squeezed('w')}) AS token FROM lexicon WHERE w IS NOT NULL), c AS (SELECT token, count(*) AS n FROM (SELECT lower(unnest({token_list('kalimat_koreksi')})) AS token FROM {PRED}) GROUP BY 1)
 SELECT token, n FROM c WHERE token NOT IN (SELECT token FROM lex) ORDER BY n DESC, token LIMIT 8""")
 def unknown_top(spark, sf_dir):
