@@ -58,7 +58,7 @@ def paired_bootstrap(df: DataFrame, by: str, diff: str, b: int = 5000, seed: int
     """One row: mean difference, interval and p of resampled per-row differences."""
     n = df.count()
     point = df.agg(F.count("*").alias("n"), F.avg(diff).alias("mean_diff"))
-    means = replicates(df, by, b, seed, diff).select((F.col(diff) / max(n, 1)).alias("m"))
+    means = replicates(df, by, b, seed, diff).select(F.round(F.col(diff) / max(n, 1), 9).alias("m"))  # a sum of differences that cancel out is not above 0
     values = means.agg(F.sort_array(F.collect_list("m")).alias("v"), F.avg((F.col("m") > 0).cast("double")).alias("above"))
     lo, hi = interval(F.col("v"))
     return point.join(values).select("n", "mean_diff", lo.alias("lo"), hi.alias("hi"), (2 * F.least(F.col("above"), 1 - F.col("above"))).alias("p"))

@@ -249,21 +249,21 @@ def _boot(sums: str) -> str:
 
 @query(f"""WITH {FACTS}, {_boot('sum(c_hyp) AS a, sum(r_len) AS b')}, v AS (SELECT list(a::DOUBLE / b ORDER BY a::DOUBLE / b) AS v FROM reps)
 SELECT (SELECT count(*) FROM f) AS n, round((SELECT sum(c_hyp)::DOUBLE / sum(r_len) FROM f), 6) AS point, round(v[1 + floor(0.025 * len(v))::INT], 6) AS lo, round(v[floor(0.975 * len(v))::INT], 6) AS hi FROM v""")
-def boot_ci(spark, sf_dir):
-    out = resampling.ratio_interval(checkpointed(facts(spark, sf_dir).select("id", "c_hyp", "r_len")), "id", "c_hyp", "r_len", B)
+def boot_ci(spark, sf_dir, b=B):
+    out = resampling.ratio_interval(checkpointed(facts(spark, sf_dir).select("id", "c_hyp", "r_len")), "id", "c_hyp", "r_len", b)
     return out.select("n", *(r6(c).alias(c) for c in ("point", "lo", "hi")))
 
 
 @query(f"""WITH {FACTS}, g AS (SELECT id, round(cer_hyp - cer_source, 9) AS diff FROM f), {_boot('sum(diff) AS a').replace('FROM f)', 'FROM g)')}, m AS (SELECT round(a / (SELECT n FROM n), 9) AS m FROM reps), v AS (SELECT list(m ORDER BY m) AS v, avg((m > 0)::INT) AS above FROM m)
 SELECT (SELECT n FROM n) AS n, round((SELECT avg(diff) FROM g), 6) AS mean_diff, round(v[1 + floor(0.025 * len(v))::INT], 6) AS lo, round(v[floor(0.975 * len(v))::INT], 6) AS hi, round(2 * least(above, 1 - above), 6) AS p FROM v""")
-def paired_boot(spark, sf_dir):
+def paired_boot(spark, sf_dir, b=B):
     rows = checkpointed(facts(spark, sf_dir).select("id", F.round(F.col("cer_hyp") - F.col("cer_source"), 9).alias("diff")))
-    return resampling.paired_bootstrap(rows, "id", "diff", B).select("n", *(r6(c).alias(c) for c in ("mean_diff", "lo", "hi", "p")))
+    return resampling.paired_bootstrap(rows, "id", "diff", b).select("n", *(r6(c).alias(c) for c in ("mean_diff", "lo", "hi", "p")))
 
 
 @query()
 def boot_ci_poisson(spark, sf_dir):
-    reps = resampling.poisson_replicates(facts(spark, sf_dir).select("id", "c_hyp", "r_len"), "id", B, 42, "c_hyp", "r_len")
+    reps = resampling.poisson_replicates(facts(spark, sf_dir).select("id", "c_hyp", "r_len"), "id", 1000, 42, "c_hyp", "r_len")
     lo, hi = resampling.interval(F.col("v"))
     return reps.agg(F.sort_array(F.collect_list(ratio(F.col("c_hyp").cast("double"), F.col("r_len").cast("double")))).alias("v")).select(lo.alias("lo"), hi.alias("hi"))
 
@@ -272,9 +272,27 @@ def boot_ci_poisson(spark, sf_dir):
 f AS (SELECT id, len(list_filter(k, lambda x: x = 'tp')) AS tp, len(list_filter(k, lambda x: x = 'fp')) AS fp, len(list_filter(k, lambda x: x = 'fn')) AS fn FROM k),
 {_boot('sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn')}, s AS (SELECT f05 FROM (SELECT {prf('tp', 'fp', 'fn').replace('round(', 'round(').replace(', 6)', ', 12)')} FROM reps)), v AS (SELECT list(f05 ORDER BY f05) AS v FROM s)
 SELECT (SELECT n FROM n) AS n, (SELECT f05 FROM (SELECT {prf('sum(tp)', 'sum(fp)', 'sum(fn)')} FROM f)) AS point, round(v[1 + floor(0.025 * len(v))::INT], 6) AS lo, round(v[1 + least(floor(0.975 * len(v))::INT, len(v) - 1)], 6) AS hi FROM v""")
-def boot_f05(spark, sf_dir):
+def boot_f05(spark, sf_dir, b=B):
     counts = predictions(spark, sf_dir).select("id", scoring.token_counts(F.col("source"), F.col("hyp"), F.col("kalimat_koreksi")).alias("c")).select("id", "c.*")
-    return resampling.f_interval(checkpointed(counts), "id", B).select("n", *(r6(c).alias(c) for c in ("point", "lo", "hi")))
+    return resampling.f_interval(checkpointed(counts), "id", b).select("n", *(r6(c).alias(c) for c in ("point", "lo", "hi")))
+
+
+# The SQL of the three above draws B replicates; these draw as many as the reference.
+
+
+@query()
+def boot_ci_whole(spark, sf_dir):
+    return boot_ci(spark, sf_dir, 1000)
+
+
+@query()
+def paired_boot_whole(spark, sf_dir):
+    return paired_boot(spark, sf_dir, 5000)
+
+
+@query()
+def boot_f05_whole(spark, sf_dir):
+    return boot_f05(spark, sf_dir, 1000)
 
 
 @query(f"WITH {FACTS}, v AS (SELECT list(r_len ORDER BY r_len) AS v FROM f) SELECT v[1 + floor(0.5 * len(v))::INT]::BIGINT AS median, v[1 + floor(0.95 * len(v))::INT]::BIGINT AS p95 FROM v")
