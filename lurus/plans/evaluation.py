@@ -230,7 +230,7 @@ def component_ablation(spark, sf_dir):
 @query()
 def coverage_curve(spark, sf_dir):
     words, rules = (checkpointed(x) for x in words_and_rules(spark, sf_dir))
-    return coverage.curve(checkpointed(scope(spark, sf_dir)), words, rules, (0, 0.5, 1), 2)
+    return coverage.curve(checkpointed(scope(spark, sf_dir)), words, rules)
 
 
 @query()

@@ -54,3 +54,8 @@ def test_replicates_are_as_many_as_the_reference_draws(spark, fixture_dir, monke
         monkeypatch.setattr(resampling, name, lambda *a, f=f: drawn.append(a[2]) or f(*a))
     assert QUERIES["boot_ci_poisson"](spark, at).count() == QUERIES["boot_f05_whole"](spark, at).count() == 1
     assert drawn == [1000, 1000]
+
+
+def test_curve_has_the_reference_s_points(spark, sf_dir):
+    rows = QUERIES["coverage_curve"](spark, sf_dir).collect()
+    assert {(r.exp, r.frac, r.runs) for r in rows} == {(e, f, 5 if 0 < f < 1 else 1) for e in ("rules", "lexicon") for f in (0, 0.25, 0.5, 0.75, 1)}
