@@ -4,6 +4,8 @@ import itertools
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,7 +184,7 @@ def test_overlaps_against_brute_force(spark):
     small = lambda r: r[0] < 500
     want = {(t[0], e[0]) for t, e in itertools.product([r for r in rows if r[3] == "train" and small(r)], filter(small, held)) if any(near(form(a), form(b)) for a in t[1:3] for b in e[1:3])} | {(500, 501)}
     got = {tuple(r) for r in overlap.cross_pairs(meta(spark, rows)).collect()}
-    assert not got - want and len(got) >= 0.95 * len(want)  # up to 7 edits in 75 letters: runs of six whole chunks may be missing
+    assert not got - want and len(got) >= 0.95 * len(want)
     report = {r.id: r.exact for r in overlap.overlapped(meta(spark, rows)).collect()}
     assert set(report) == {e for _, e in got} and report[400] and not report[501]
     assert overlap.cross_pairs(meta(spark, rows).limit(0)).count() == 0
@@ -200,16 +202,42 @@ def test_edits_spread_evenly_up_to_a_seventh(spark):
         long = "".join(c + "w" * (j % 7 == 3 and j // 7 < n // 7) for j, c in enumerate(t))  # a letter put in, so that the other is the longer text
         rows += [(10 * k, t, None, "train"), (10 * k + 3, long, None, "test")]
         want |= {(10 * k, 10 * k + 1), (10 * k, 10 * k + 3)}
-    got = {tuple(r) for r in overlap.cross_pairs(meta(spark, rows)).collect()}
+    got = {tuple(r) for r in overlap.cross_pairs(meta(spark, rows), exhaustive=True).collect()}
     assert got == want
-    assert {r.id for r in overlap.overlapped(meta(spark, rows)).collect()} == {e for _, e in want}
+    assert {r.id for r in overlap.overlapped(meta(spark, rows), exhaustive=True).collect()} == {e for _, e in want}
+    assert not {tuple(r) for r in overlap.cross_pairs(meta(spark, rows)).collect()} - want
 
 
-def test_digests_depend_on_content_alone():
-    import pyarrow as pa
+def test_digests_find_what_the_exhaustive_search_finds(spark, sf_dir):
+    """All equal texts, and all but a few in a thousand of the near ones."""
+    df = spark.read.parquet(f"{sf_dir}/syn_metadata.parquet")
+    all_, got = (overlap.cross_pairs(df, exhaustive=x) for x in (True, False))
+    assert got.exceptAll(all_).isEmpty() and got.count() >= 0.99 * all_.count()
+
+
+def test_a_run_that_all_texts_share_brings_few_together():
+    rng = random.Random(3)
+    words = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    notice = words(60)
+    texts = [notice + words(60) for _ in range(4000)]
+    texts += [t[:70] + "x" + t[71:] for t in texts[:50]]
+    h = np.arange(len(texts)) * 7919
+    rows = overlap.run_rows(pa.array(texts), h, np.arange(len(texts)) < 4000, {})
+    met = set(zip(*(x.tolist() for x in overlap.meetings(rows))))
+    assert {(7919 * i, 7919 * (4000 + i)) for i in range(50)} <= met and len(met) < 5000  # of 200,000
+    heavy = {0: np.unique(rows["key"][:20])}
+    again = set(zip(*(x.tolist() for x in overlap.meetings(overlap.run_rows(pa.array(texts), h, np.arange(len(texts)) < 4000, heavy)))))
+    assert {(7919 * i, 7919 * (4000 + i)) for i in range(50)} <= again
+    assert (overlap.unpacked(overlap.packed(rows), len(rows)) == rows[np.argsort(rows["key"], kind="stable")]).all()
 
+
+def test_digests_depend_on_content_alone():
     text = "penjaga mengangkat tiga karung beras ke gudang dekat pelabuhan sebelum hujan turun".replace(" ", "")
-    of = lambda *ts: {k: set(zip(d[t == k].tolist(), n[t == k].tolist())) for t, d, n, _ in [overlap.chunk_digests(pa.array(ts))] for k in range(len(ts))}
+
+    def of(*ts):
+        rows = overlap.run_rows(pa.array(ts), np.arange(len(ts)), np.ones(len(ts), bool), {})
+        return [set(rows["key"][(rows["h"] == k) & (rows["key"] < 1 << overlap.KEY_BITS)].tolist()) for k in range(len(ts))]
+
     one = of(text)[0]
     assert of("x", text, "yy", text)[1] == one == of("x", text, "yy", text)[3]
     assert len(one & of("awalan" + text)[0]) > len(one) / 2
