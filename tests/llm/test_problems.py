@@ -223,10 +223,10 @@ def test_a_run_that_all_texts_share_brings_few_together():
     texts += [t[:70] + "x" + t[71:] for t in texts[:50]]
     h = np.arange(len(texts)) * 7919
     rows = overlap.run_rows(pa.array(texts), h, np.arange(len(texts)) < 4000, {})
-    met = set(zip(*(x.tolist() for x in overlap.meetings(rows))))
+    met = set(zip(*(x.tolist() for x in overlap.meetings(rows)[:2])))
     assert {(7919 * i, 7919 * (4000 + i)) for i in range(50)} <= met and len(met) < 5000  # of 200,000
     heavy = {0: np.unique(rows["key"][:20])}
-    again = set(zip(*(x.tolist() for x in overlap.meetings(overlap.run_rows(pa.array(texts), h, np.arange(len(texts)) < 4000, heavy)))))
+    again = set(zip(*(x.tolist() for x in overlap.meetings(overlap.run_rows(pa.array(texts), h, np.arange(len(texts)) < 4000, heavy))[:2])))
     assert {(7919 * i, 7919 * (4000 + i)) for i in range(50)} <= again
     assert (overlap.unpacked(overlap.packed(rows), len(rows)) == rows[np.argsort(rows["key"], kind="stable")]).all()
 
@@ -236,7 +236,7 @@ def test_digests_depend_on_content_alone():
 
     def of(*ts):
         rows = overlap.run_rows(pa.array(ts), np.arange(len(ts)), np.ones(len(ts), bool), {})
-        return [set(rows["key"][(rows["h"] == k) & (rows["key"] < 1 << overlap.KEY_BITS)].tolist()) for k in range(len(ts))]
+        return [set(rows["key"][(rows["text"] == k) & (rows["key"] < 1 << overlap.KEY_BITS)].tolist()) for k in range(len(ts))]
 
     one = of(text)[0]
     assert of("x", text, "yy", text)[1] == one == of("x", text, "yy", text)[3]
