@@ -1,23 +1,27 @@
 """Flat tables of nested records whose shape varies from tool to tool.
 
-A bottom-up tree automaton gives every JSON node a state, from its own kind and its children's states alone:
+A bottom-up tree automaton gives every JSON node a state, from its own kind and its children's states alone, each node once:
 
-    scalar -> null | text | number | bool          string that holds a JSON list or object -> encoded(state of what it holds)
-    object -> error      if it has a key of ERROR_KEYS
+    scalar -> null | text | number | bool          string that holds a JSON list or object -> the state of what it holds
+    object -> record     if it has a key of RECORD_KEYS
             | sentence   if it has a key of SENTENCE_KEYS
-            | record     if it has a key of RECORD_KEYS
-            | envelope   if a child's state is record, envelope or a list of these
-            | other
-    list   -> list of the joint state of its entries
+            | error      if it has a key of ERROR_KEYS
+            | envelope of X, or other
+    list   -> list of X, or list
 
-(record goes before sentence before error when keys of several kinds are there.) The states route each node: envelopes are opened, a record's
-`sentences` and a sentence's `errors` may be a list, a single object, an encoded string, null or absent. All records, sentences and errors have common
+X being the highest of record, sentence and error that a child is or leads to. The states route each node: lists, envelopes and encoded strings that lead
+to a record are opened wherever they stand, and so are those that lead to a sentence in a record's `sentences` and to an error in a sentence's `errors`,
+each of which may be a list, a list of lists, a single object, an encoded string, null or absent. All records, sentences and errors have common
 supertype tables with their keys and parent links; `shape` names the structural variant, and `subtypes` has a typed table for each.
 
+A shape is made of a few fixed words (how a node was wrapped, which optional fields it has), never of the data's own keys, so there are no more than some
+hundred variants, whatever the input.
+
 Defined results: a payload that is null or no valid JSON (NaN, a second value, nesting beyond Python's stack) gives no rows; null entries of lists count
-for positions and give no rows; entries of other kinds (a number among the errors) count likewise; of a key that occurs twice the last holds; several
-records in one payload are numbered by record_pos; numbers and booleans in place of texts are read as their JSON text; rows with a null key are kept;
-further columns are ignored; empty tables give empty tables.
+for positions and give no rows; entries of other kinds (a number among the errors, an error among the sentences) count likewise; the entries of lists
+within lists, and all that one envelope leads to, are numbered on; objects of no known key are taken for what is expected in their place; of a key that
+occurs twice the last holds; several records in one payload are numbered by record_pos; numbers and booleans in place of texts are read as their JSON
+text; rows with a null key are kept; further columns are ignored; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RECORD_KEYS = {"sentences", "filename", "primary_category"}
@@ -72,73 +76,107 @@ def opened(value):
     return value, False
 
 
-def state(value) -> str:
-    """The automaton's state of a node."""
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "bool"
-    if isinstance(value, (_number, int, float)):
-        return "number"
-    if isinstance(value, str):
-        inner, encoded = opened(value)
-        return f"encoded {state(inner)}" if encoded else "text"
-    if isinstance(value, list):
-        return "list of " + "|".join(sorted({state(v) for v in value}))
-    keys = value.keys()
-    for name, own in (("record", RECORD_KEYS), ("sentence", SENTENCE_KEYS), ("error", ERROR_KEYS)):
-        if keys & own:
-            return name
-    return "envelope" if any(_leads_to_record(state(v)) for v in value.values()) else "other"
+KINDS = ("", "error", "sentence", "record")
 
 
-def _leads_to_record(s: str) -> bool:
-    s = s.removeprefix("encoded ")
-    return any(part in ("record", "envelope") for part in s.removeprefix("list of ").split("|"))
+class Node:
+    """A list or object with its state: own is what it is itself, leads the highest kind that it is or leads to (places in KINDS)."""
 
+    __slots__ = ("items", "listed", "own", "leads", "source")
 
-def _text(value) -> str | None:
-    if value is None or isinstance(value, str):
-        return None if value is None else str(value)
-    return json.dumps(value, ensure_ascii=False)
+    def __init__(self, items, source: str | None) -> None:
+        self.items, self.listed, self.source = items, isinstance(items, list), source
+        self.own = 0
+        if not self.listed:
+            keys = items.keys()
+            self.own = 3 if keys & RECORD_KEYS else 2 if keys & SENTENCE_KEYS else 1 if keys & ERROR_KEYS else 0
+        self.leads = self.own or max((x.leads for x in (items if self.listed else items.values()) if isinstance(x, Node)), default=0)
+
+    @property
+    def state(self) -> str:
+        if self.own:
+            return KINDS[self.own]
+        kind = "list" if self.listed else "envelope"
+        return f"{kind} of {KINDS[self.leads]}" if self.leads else "list" if self.listed else "other"
 
 
-def _entries(holder: dict, key: str) -> tuple[list, str]:
-    """The entries of a child list in whatever form it has, and the name of that form."""
-    if key not in holder:
-        return [], "absent"
-    value, encoded = opened(holder[key])
-    pre = "encoded-" if encoded else ""
+def annotated(value):
+    """A JSON value with a Node for each list and object in it, also for those that strings hold."""
+    value, encoded = opened(value)[0], value if isinstance(value, str) else None
     if isinstance(value, list):
-        return value, pre + "list"
+        return Node([annotated(v) for v in value], encoded)
     if isinstance(value, dict):
-        return [value], pre + "single"
-    return [], "null" if value is None else "scalar"
+        return Node({k: annotated(v) for k, v in value.items()}, encoded)
+    return value
+
+
+def state(value) -> str:
+    """The automaton's state of a JSON value."""
+    node = annotated(value)
+    if isinstance(node, Node):
+        return node.state
+    return "null" if node is None else "bool" if isinstance(node, bool) else "number" if isinstance(node, (_number, int, float)) else "text"
+
+
+def plain(value):
+    """The JSON value again; strings that hold JSON as they were."""
+    if not isinstance(value, Node):
+        return value
+    return value.source if value.source is not None else [plain(v) for v in value.items] if value.listed else {k: plain(v) for k, v in value.items.items()}
+
+
+def _text(value) -> str | None:
+    value = plain(value)
+    if value is None or isinstance(value, str):
+        return None if value is None else str(value)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+
+
+def _routed(value, kind: int, ways: frozenset[str] = frozenset()) -> Iterator[tuple[Node | None, frozenset[str]]]:
+    """All nodes of a kind that a value is or leads to, in order, and the ways by which they were wrapped. Entries of lists that are nothing of the kind
+    give None, as they count for positions."""
+    if not isinstance(value, Node):
+        return
+    if value.source is not None:
+        ways |= {"encoded"}
+    if value.own == kind or not value.listed and not value.own and not value.leads:
+        yield value, ways
+    elif value.listed:
+        for v in value.items:
+            if isinstance(v, Node) and (v.listed or v.leads >= kind or not v.leads):
+                yield from _routed(v, kind, ways | {"list"})
+            else:
+                yield None, ways | {"list"}
+    elif not value.own and value.leads >= kind:
+        for v in value.items.values():
+            if isinstance(v, Node) and v.leads >= kind:
+                yield from _routed(v, kind, ways | {"envelope"})
+    elif value.own > kind:  # a record among the sentences
+        yield value, ways
+    else:
+        yield None, ways
+
+
+def _form(holder: Node, key: str) -> str:
+    """The name of the form in which a node has its children."""
+    if key not in holder.items:
+        return "absent"
+    value = holder.items[key]
+    if not isinstance(value, Node):
+        return "null" if value is None else "scalar"
+    lists = value.listed and any(isinstance(v, Node) and v.listed for v in value.items)
+    form = "lists" if lists else "list" if value.listed else "wrapped" if not value.own and value.leads else "single"
+    return ("encoded-" if value.source is not None else "") + form
 
 
 def _box(value) -> list[float] | None:
+    value = plain(value)
     try:
         return [None if x is None else float(x) for x in value] if isinstance(value, list) else None
     except (TypeError, ValueError):
         return None
 
 
-def _records(value, path: str) -> Iterator[tuple[dict, str]]:
-    value, encoded = opened(value)
-    if encoded:
-        path += "/encoded"
-    s = state(value)
-    if s == "record":
-        yield value, path or "/bare"
-    elif isinstance(value, list):
-        for v in value:
-            yield from _records(v, path + "/list")
-    elif s == "envelope":
-        for k, v in value.items():
-            if _leads_to_record(state(v)):
-                yield from _records(v, f"{path}/{k}")
-
-
 def nodes(ann_id: int | None, payload: str | None) -> list[dict]:
     """A row for each record, sentence and error of a payload."""
     try:
@@ -148,21 +186,24 @@ def nodes(ann_id: int | None, payload: str | None) -> list[dict]:
 
 
 def _nodes(ann_id: int | None, payload: str | None) -> Iterator[dict]:
-    for r, (record, path) in enumerate(_records(parse(payload), "")):
-        sentences, form = _entries(record, "sentences")
-        own = {"ann_id": ann_id, "record_pos": r}
-        yield own | {"level": "record", "shape": f"{path[1:]}:{form}", "filename": _text(record.get("filename")), "primary_category": _text(record.get("primary_category")), "annotator": _text(record.get("anotator", record.get("annotator")))}
-        for i, sentence in enumerate(sentences):
-            sentence, _ = opened(sentence)
-            if not isinstance(sentence, dict):
+    root = annotated(parse(payload))
+    if not isinstance(root, Node) or root.leads < 3:
+        return
+    records = ((node, ways) for node, ways in _routed(root, 3) if node is not None and node.own == 3)
+    for r, (node, ways) in enumerate(records):
+        record, own = node.items, {"ann_id": ann_id, "record_pos": r}
+        shape = ("+".join(w for w in ("envelope", "list", "encoded") if w in ways) or "bare") + ":" + _form(node, "sentences")
+        yield own | {"level": "record", "shape": shape, "filename": _text(record.get("filename")), "primary_category": _text(record.get("primary_category")), "annotator": _text(record.get("anotator", record.get("annotator")))}
+        for i, (node, _) in enumerate(_routed(record.get("sentences"), 2)):
+            if node is None:
                 continue
-            errors, form = _entries(sentence, "errors")
+            sentence = node.items
             box, note = _box(sentence.get("bbox_normalized")), sentence.get("catatan")
-            shape = form + ("+box" if box is not None else "") + ("+note" if note is not None else "")
+            shape = _form(node, "errors") + ("+box" if box is not None else "") + ("+note" if note is not None else "")
             yield own | {"level": "sentence", "sentence_pos": i, "shape": shape, "bbox_normalized": box, "note": _text(note)} | {k: _text(sentence.get(k)) for k in ("sentence_id", "category", "teks_ocr", "kalimat_koreksi")}
-            for j, error in enumerate(errors):
-                error, _ = opened(error)
-                if isinstance(error, dict):
+            for j, (node, _) in enumerate(_routed(sentence.get("errors"), 1)):
+                if node is not None:
+                    error = node.items
                     shape = "+".join(k for k in ("token_salah", "token_benar", "category") if k in error) or "empty"
                     yield own | {"level": "error", "sentence_pos": i, "error_pos": j, "shape": shape} | {k: _text(error.get(k)) for k in ("token_salah", "token_benar", "category")}
 
@@ -198,18 +239,31 @@ def level(nodes_: DataFrame, name: str) -> DataFrame:
     return nodes_.where(F.col("level") == name).select("ann_id", "record_pos", "shape", *LEVELS[name]).distinct()
 
 
+def columns_of(name: str, shape: str) -> list[str]:
+    """The columns that a structural variant has, besides its keys."""
+    gone: set[str] = set()
+    if name == "sentence":
+        gone = ({"bbox_normalized"} if "+box" not in shape else set()) | ({"note"} if "+note" not in shape else set())
+    elif name == "error" and shape != "typed":
+        gone = {"token_salah", "token_benar", "category"} - set(shape.split("+"))
+    return [c for c in LEVELS[name] if c not in gone]
+
+
 def subtypes(nodes_: DataFrame, name: str) -> dict[str, DataFrame]:
-    """A typed table for each structural variant of a level, with only the columns that variant has. The automaton's alphabet of keys bounds their number."""
-    shapes = [r.shape for r in nodes_.where(F.col("level") == name).select("shape").distinct().orderBy("shape").limit(1000).collect()]
-    out = {}
-    for s in shapes:
-        gone: set[str] = set()
-        if name == "sentence":
-            gone = ({"bbox_normalized"} if "+box" not in s else set()) | ({"note"} if "+note" not in s else set())
-        elif name == "error" and s != "typed":
-            gone = {k for k in ("token_salah", "token_benar", "category") if k not in s.split("+")}
-        out[s] = level(nodes_, name).where(F.col("shape") == s).drop("shape", *gone)
-    return out
+    """A typed table for each structural variant of a level, with only the columns that variant has. Shapes are made of fixed words, which bounds them."""
+    shapes = [r.shape for r in nodes_.where(F.col("level") == name).select("shape").distinct().orderBy("shape").collect()]
+    return {s: level(nodes_, name).where(F.col("shape") == s).select("ann_id", "record_pos", *columns_of(name, s)) for s in shapes}
+
+
+def write_subtypes(nodes_: DataFrame, path: str) -> None:
+    """Writes every typed table in one pass, a folder for each level and variant, whence `read_subtype` reads them."""
+    columns = list(dict.fromkeys(c for cs in LEVELS.values() for c in cs))
+    nodes_.select("level", "shape", "ann_id", "record_pos", *columns).distinct().write.partitionBy("level", "shape").parquet(path)
+
+
+def read_subtype(spark: SparkSession, path: str, name: str, shape: str) -> DataFrame:
+    """One typed table: only its folder and its own columns are read."""
+    return spark.read.parquet(path).where((F.col("level") == name) & (F.col("shape") == shape)).select("ann_id", "record_pos", *columns_of(name, shape))
 
 
 def worded(text: Column) -> Column:

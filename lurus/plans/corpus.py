@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from lurus.functions import text as T
 from lurus.operators import align, corrupt, dataset, plugins, quality, resources, sampling, synthetic
 from lurus.plans.evaluation import PRED, ocr, predictions
 from lurus.plans.registry import Registry, draw, over, squeezed, token_list
-from lurus.plans.session import checkpointed, shared_dir, table
+from lurus.plans.session import checkpointed, scratch, table
 from lurus.sources import readers, sinks
 from lurus.streaming.normalize import normalize_stream
 
@@ -21,10 +19,6 @@ KEY = lambda x: squeezed(f"lower({x})")
 MD5 = lambda *c: f"md5(concat_ws('|', {', '.join(c)}))"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "syn_metadata").select("image_id", "image_path", "src_text", "trg_text", "category", "augmentation_intensity", "split", "origin")
 

@@ -48,10 +48,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as compressed parquet to the shared folder and read it back: smaller than a checkpoint, and column-pruned by later readers."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,9 +69,18 @@ def importable(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The frame over all cores, for work that is heavy for each row: a small file is one partition, however much is done with its rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """The frame over all cores, for work that is heavy for each row: a small file is one partition, however much is done with its rows.
+
+    A scan has its partitions before anything runs. Behind an exchange their number is known only when it has run, so there the size that the planner
+    expects decides: what is small is spread, what is large has partitions enough.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if "Exchange" not in plan.executedPlan().toString():
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    part = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
+    return df.repartition(cores) if int(str(plan.optimizedPlan().stats().sizeInBytes())) < cores * part else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
