@@ -6,8 +6,8 @@ one literal: an array of small maps, addressed by the CRC of the piece, so a loo
 
 Distinct words are counted first, with map-side combine; those that make up HOT_SHARE of all words or more, of which there can be 1 / HOT_SHARE at most,
 are folded once and become a second literal. Each text is then encoded where it is read: frequent words are looked up, the rare rest is folded in place,
-and no text, word or id is ever shuffled or joined. Texts with a word of more than LONG bytes are encoded in Python, whose heap merges long words to the
-same ids in n log n.
+and no text, word or id is ever shuffled or joined. Words of any length go the same way; a step copies its word's pieces, so the time of a word grows with
+the square of its length, by some nanoseconds for each square byte.
 
 Defined results: null and empty texts have the empty list; repeated rows and ids are encoded each by itself; texts of any length are encoded whole;
 special tokens' strings are ordinary text; an empty table gives an empty result; further columns are ignored.
@@ -16,13 +16,10 @@ special tokens' strings are ordinary text; an empty table gives an empty result;
 from __future__ import annotations
 
 import base64
-import heapq
 import json
 import zlib
-from collections.abc import Iterator
 from functools import cache
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPACE = r"\t-\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}".replace(r"\x{1C}-\x{1F}", "")
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 CELLS = 16384
-LONG = 240
 #: Words of at least this share of all words are folded once for all texts.
-HOT_SHARE = 5e-6
+HOT_SHARE = 1e-6
 NONE = 2**31 - 1
 
 
@@ -69,65 +65,32 @@ def let(value: Column, body) -> Column:
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """Ids of a word given as Latin-1 characters of its bytes."""
+    """Ids of a word given as Latin-1 characters of its bytes.
+
+    The fold carries the pieces and the rank of each two neighbours together, so that a step looks two pieces up, whatever the word's length, and copies
+    the rest.
+    """
     size = F.length(word)
     bytes_ = F.transform(F.sequence(F.lit(1), size), lambda i: F.substr(word, i, F.lit(1)))
+    start = F.struct(bytes_.alias("p"), F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank_of(F.substr(word, i, F.lit(2)), table)).alias("r"))
+    none = F.array().cast("array<int>")
 
-    def step(pieces: Column, _: Column) -> Column:
-        pair = lambda j: F.concat(F.element_at(pieces, j), F.element_at(pieces, j + 1))
-        places = F.when(F.size(pieces) > 1, F.sequence(F.lit(1), F.size(pieces) - 1)).otherwise(F.array().cast("array<int>"))
-        best = F.array_min(F.transform(places, lambda j: F.struct(rank_of(pair(j), table).alias("rank"), j.alias("at"))))
+    def step(state: Column, _: Column) -> Column:
+        p, r = state["p"], state["r"]
 
-        def merge(b: Column) -> Column:
-            at = b["at"]
-            merged = F.concat(F.slice(pieces, 1, at - 1), F.array(pair(at)), F.slice(pieces, at + 2, F.greatest(F.size(pieces) - at - 1, F.lit(0))))
-            return F.when(b["rank"] < NONE, merged).otherwise(pieces)
+        def merged(at: Column, new: Column) -> Column:
+            left = F.when(at > 1, F.concat(F.slice(r, 1, at - 2), F.array(rank_of(F.concat(F.element_at(p, at - 1), new), table)))).otherwise(none)
+            right = F.when(at < F.size(r), F.concat(F.array(rank_of(F.concat(new, F.element_at(p, at + 2)), table)), F.slice(r, at + 2, F.size(r)))).otherwise(none)
+            return F.struct(F.concat(F.slice(p, 1, at - 1), F.array(new), F.slice(p, at + 2, F.size(p))).alias("p"), F.concat(left, right).alias("r"))
 
-        return F.when(F.size(pieces) < 2, pieces).otherwise(let(best, merge))
+        # what is read more than once is computed once: the interpreter of higher-order functions shares nothing by itself
+        merge = lambda at: let(F.concat(F.element_at(p, at), F.element_at(p, at + 1)), lambda new: merged(at, new))
+        of_best = lambda best: F.when(best < NONE, let(F.array_position(r, best).cast("int"), merge)).otherwise(state)
+        return F.when(F.size(r) > 0, let(F.array_min(r), of_best)).otherwise(state)
 
-    folded = F.aggregate(F.when(size > 1, F.sequence(F.lit(2), size)).otherwise(F.array().cast("array<int>")), bytes_, step)
+    folded = F.aggregate(F.sequence(F.lit(2), size), start, step, lambda state: state["p"])
     whole = rank_of(word, table)
-    return let(whole, lambda r: F.when(r < NONE, F.array(r)).otherwise(F.transform(folded, lambda p: rank_of(p, table))))
-
-
-def heap_merges(word: bytes, rank: dict[bytes, int]) -> list[int]:
-    """The same for long words, in n log n."""
-    if word in rank:
-        return [rank[word]]
-    piece = [word[i : i + 1] for i in range(len(word))]
-    before, after = list(range(-1, len(piece) - 1)), list(range(1, len(piece) + 1))
-    heap = [(r, i, piece[i], piece[i + 1]) for i in range(len(piece) - 1) if (r := rank.get(piece[i] + piece[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if piece[i] != a or j >= len(piece) or piece[j] != b:
-            continue
-        piece[i], piece[j], after[i] = a + b, b"", after[j]
-        if after[i] < len(piece):
-            before[after[i]] = i
-        for k in (before[i], i):
-            if k >= 0 and after[k] < len(piece) and (r := rank.get(piece[k] + piece[after[k]])) is not None:
-                heapq.heappush(heap, (r, k, piece[k], piece[after[k]]))
-    return [rank[p] for p in piece if p]
-
-
-def _whole_texts(path: str):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, known = ranks(path), {}
-        for batch in batches:
-            out = []
-            for words in batch.column(1).to_pylist():
-                ids: list[int] = []
-                for w in words:
-                    if w not in known:
-                        known = known if len(known) < 100_000 else {}
-                        known[w] = heap_merges(w.encode(), rank)
-                    ids += known[w]
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["id", "ids"])
-
-    return encode
+    return let(whole, lambda r: F.when((r < NONE) | (size < 2), F.array(r)).otherwise(F.transform(folded, lambda p: rank_of(p, table))))
 
 
 def words_of(text: Column) -> Column:
@@ -149,7 +112,7 @@ def frequent_words(words: DataFrame, path: str = VOCABULARY) -> Column:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = counts.where(F.col("n") >= max(2, total * HOT_SHARE)).select("word", let(rank_map(path), lambda table: fold_merges(latin(F.col("word")), table)).alias("ids"))
     cells: list[list[str]] = [[] for _ in range(CELLS)]
-    for r in hot.toLocalIterator():  # 1 / HOT_SHARE rows at most
+    for r in hot.collect():  # 1 / HOT_SHARE rows at most
         cells[zlib.crc32(r.word.encode()) % CELLS].append(f"{json.dumps(r.word)}:{json.dumps(r.ids, separators=(',', ':'))}")
     return F.from_json(F.lit("[" + ",".join("{" + ",".join(c) + "}" for c in cells) + "]"), "array<map<string,array<int>>>")
 
@@ -157,14 +120,11 @@ def frequent_words(words: DataFrame, path: str = VOCABULARY) -> Column:
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(id, ids): the token ids of each row's text."""
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))).select("id", words_of(F.col("t")).alias("words"))
-    too_long = F.exists("words", lambda w: F.octet_length(w) > LONG)
-    hot = frequent_words(rows.select(F.explode("words").alias("word")).where(F.octet_length("word") <= LONG), path)
+    hot = frequent_words(rows.select(F.explode("words").alias("word")), path)
     ids_of = lambda table, known: lambda w: F.coalesce(F.try_element_at(F.element_at(known, _cell(w)), w), fold_merges(latin(w), table))
     # each literal stands in the plan once, however often it is read
     ids = let(rank_map(path), lambda table: let(hot, lambda known: F.flatten(F.transform("words", ids_of(table, known)))))
-    most = rows.where(~too_long).select("id", ids.alias("ids"))
-    rest = rows.where(too_long).mapInArrow(_whole_texts(path), f"id {dict(rows.dtypes)['id']}, ids array<int>")
-    return most.union(rest)
+    return rows.select("id", ids.alias("ids"))
 
 
 def decode(df: DataFrame, id_col: str = "id", ids_col: str = "ids", path: str = VOCABULARY) -> DataFrame:

@@ -284,11 +284,11 @@ def test_ids_and_round_trip(spark, reference):
     assert tokens.encode(df.limit(0)).count() == 0
 
 
-def test_long_words_merge_alike(reference):
+def test_long_words_merge_alike(spark, reference):
     rng = random.Random(1)
-    for n in (1, 2, 5, 60, 900):
-        w = "".join(rng.choice("abcdeéx") for _ in range(n))
-        assert tokens.heap_merges(w.encode(), tokens.ranks()) == reference.encode_ordinary(w)
+    words = ["".join(rng.choice("abcdeéx") for _ in range(n)) for n in (1, 2, 5, 60, 239, 241, 900, 5000)] + ["a" * 3000, "ab" * 1500, "é" * 1000]
+    df = spark.createDataFrame(list(enumerate(words)), "doc_id bigint, text string")
+    assert {r.id: list(r.ids) for r in tokens.encode(df).collect()} == {i: reference.encode_ordinary(w) for i, w in enumerate(words)}
 
 
 @pytest.mark.parametrize("share", [0.0, 0.2, 2.0])
