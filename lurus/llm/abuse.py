@@ -1,10 +1,13 @@
 """Problem 9: abusive, hateful or sexual content, by compression distance.
 
 A text is read in windows of six words. Each of several members has two zstandard dictionaries of equal make: the same ordinary text, followed in one by
-windows of toxic documents, in the other by ordinary windows, those first that the toxic dictionary compresses best. A window's score is how many bytes
-fewer it takes with the toxic dictionary than with the ordinary one, averaged over the members; a document's score is its highest window's. Which
-windows of a toxic document are the toxic ones is not labelled: in a few rounds, dictionaries made from the other documents pick the windows that score
-above nearly all ordinary ones. The threshold is the score of best F1 on labelled documents that the dictionaries never saw.
+windows of toxic documents, in the other by ordinary windows, those first that the toxic dictionary compresses best. A member's score of a window is how
+many bytes fewer it takes with the toxic dictionary than with the ordinary one; a window that even the toxic dictionary leaves above SHARE of its length
+scores 0. Windows whose score by the first member reaches GATE have the mean of all members, the others the first member's. A document's score is its
+highest window's. Which windows of a toxic document are the toxic ones is not labelled: in a few rounds, dictionaries made from the other documents pick
+the windows that score above nearly all ordinary ones; windows that SEVERAL ordinary documents hold, and toxic ones no more often, are never picked. The
+threshold is the score of best F1 on labelled documents that the dictionaries never saw, ordinary ones counted ORDINARY times, as labels are given to
+suspicious documents more often than to others.
 
 Words are compared after folding: compatibility forms, look-alike letters, digits and marks used as letters, repeated letters, invisible characters.
 
@@ -20,8 +23,10 @@ from __future__ import annotations
 import random
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -30,14 +35,18 @@ from pyspark.sql import functions as F
 
 from lurus.plans.session import spread
 
-WORDS, STEP, LEVEL = 6, 2, 19
+WORDS, STEP, LEVEL = 6, 2, 12
 #: Bytes of each half of a dictionary, and number of dictionary pairs.
 HALF, MEMBERS = 120_000, 3
+#: See above.
+GATE, SHARE, ORDINARY = 3, 0.75, 2
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 3000, 8000, 20_000
 #: Ordinary windows that compete for the ordinary dictionary, and the quantiles of their scores above which windows count as toxic, round by round.
 RIVALS, QUANTILES = 50_000, (0.98, 0.995, 0.998, 0.998)
 #: Ordinary windows that score as high as this quantile of the chosen toxic ones are taken for wrong labels and stay out of the ordinary dictionary.
 SURE = 0.5
+#: Ordinary documents that show a window to be harmless.
+SEVERAL = 3
 FOLDS = 4
 #: Used where too few labels are left to calibrate.
 THRESHOLD, LEAST_LABELS = 8.0, 8
@@ -49,10 +58,12 @@ INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|[\r\n]+|[^\w\s.,!?;:'\"()*@$\-/&#“”«»…|]+")
 
 
+@lru_cache(200_000)
 def fold_word(word: str) -> str:
+    """A word's letters and stars in their plainest form; one without a letter is `#`, bare marks are nothing."""
     core = word.strip(".,!?;:\"'()“”«»…")
     if any(ch.isalpha() for ch in core):
-        return re.sub(r"[^a-z*]", "", re.sub(r"(.)\1+", r"\1", core.translate(AS_LETTER)))
+        return re.sub(r"[^\w*]|[\d_]", "", re.sub(r"(.)\1+", r"\1", core.translate(AS_LETTER)))
     return "#" if core else ""
 
 
@@ -98,6 +109,12 @@ class Pair:
         data = window.encode()
         return len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
 
+    def pruned(self, window: str) -> int:
+        """The score, or 0 without a second compression where the toxic dictionary does too little."""
+        data = window.encode()
+        size = len(self.toxic.compress(data))
+        return len(self.ordinary.compress(data)) - size if size <= SHARE * len(data) else 0
+
 
 @dataclass(frozen=True)
 class Model:
@@ -105,10 +122,14 @@ class Model:
     threshold: float
 
     def scorer(self):
-        pairs = [Pair(*d) for d in self.dictionaries]
+        first, *others = (Pair(*d) for d in self.dictionaries)
+
+        def of_window(window: str) -> float:
+            s = first.pruned(window)
+            return s if s < GATE else (s + sum(p(window) for p in others)) / (1 + len(others))
 
         def score(text: str | None) -> float | None:
-            return max((sum(p(w) for p in pairs) / len(pairs) for w in windows(text)), default=None)
+            return max(map(of_window, windows(text)), default=None)
 
         return score
 
@@ -116,6 +137,10 @@ class Model:
 def train_pair(toxic: list[list[str]], ordinary: list[list[str]], seed: int) -> tuple[bytes, bytes]:
     """Dictionaries from the windows of toxic and of ordinary documents."""
     rng = random.Random(seed)
+    in_toxic, in_ordinary = (Counter(w for ws in docs for w in set(ws)) for docs in (toxic, ordinary))
+    # harmless whatever they look like: several ordinary documents have them, and toxic ones no more often
+    plain = {w for w, n in in_ordinary.items() if n >= SEVERAL and n * len(toxic) >= in_toxic[w] * len(ordinary)}
+    toxic = [[w for w in ws if w not in plain] for ws in toxic]
     order = rng.sample(ordinary, len(ordinary))
     few = max(1, len(order) // 4)
     pool = lambda docs: list(dict.fromkeys(w for ws in docs for w in ws))
@@ -138,7 +163,7 @@ def train_pair(toxic: list[list[str]], ordinary: list[list[str]], seed: int) ->
         chosen = [[w for s, w in ws if s >= least] for ws in scored]
         sure = sorted(s for ws in scored for s, _ in ws if s >= least)
         most = sure[int(len(sure) * SURE)] if sure else 2**31
-        ranked = sorted((w for w in rivals if scores[w] < most), key=lambda w: -scores[w])
+        ranked = sorted((w for w in rivals if scores[w] < most or w in plain), key=lambda w: -scores[w])
     own = [w for ws in chosen for w in ws]
     own = head(rng.sample(own, len(own)), HALF)
     size = sum(len(w.encode()) + 1 for w in own)
@@ -146,16 +171,17 @@ def train_pair(toxic: list[list[str]], ordinary: list[list[str]], seed: int) ->
 
 
 def best_threshold(scored: list[tuple[float, int]]) -> float:
-    """The score of best F1, or THRESHOLD where labels are too few."""
+    """The score of best F1, ordinary documents counted ORDINARY times, or THRESHOLD where labels are too few."""
     positive = sum(y for _, y in scored)
     if positive < LEAST_LABELS:
         return THRESHOLD
     scored = sorted(scored, reverse=True)
-    best, at, hits = 0.0, THRESHOLD, 0
+    best, at, hits, found = 0.0, THRESHOLD, 0, 0
     for n, (s, y) in enumerate(scored, 1):
         hits += y
-        if (n == len(scored) or scored[n][0] != s) and 2 * hits / (n + positive) > best:
-            best, at = 2 * hits / (n + positive), s
+        found += 1 if y else ORDINARY
+        if (n == len(scored) or scored[n][0] != s) and 2 * hits / (found + positive) > best:
+            best, at = 2 * hits / (found + positive), s
     return at
 
 
