@@ -16,13 +16,13 @@ TEXTS = ("src_text", "trg_text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = proportions.reservoirs(table(spark, sf_dir, "syn_metadata"))
-    return proportions.report(state, table(spark, sf_dir, "sample_targets")).where("exhausted").select("split", "category")
+    targets = table(spark, sf_dir, "sample_targets")
+    return proportions.report(proportions.reservoirs(table(spark, sf_dir, "syn_metadata"), targets), targets).where("exhausted").select("split", "category")
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = proportions.reservoirs(table(spark, sf_dir, "syn_metadata"))
-    return proportions.report(state, table(spark, sf_dir, "sample_targets")).select("split", "category", "n", "available", F.round("wanted", 6).alias("wanted"), "quota", "exhausted")
+    targets = table(spark, sf_dir, "sample_targets")
+    return proportions.report(proportions.reservoirs(table(spark, sf_dir, "syn_metadata"), targets), targets).select("split", "category", "n", "available", F.round("wanted", 6).alias("wanted"), "quota", "exhausted")
 
 
 def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,8 +72,7 @@ def term_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = term_texts(spark, sf_dir)
-    return terms.marked(terms.count_terms(texts), terms.holding_records(texts)).select("field_name", "term", "n_records", "n_occurrences", "mark")
+    return terms.marked(term_texts(spark, sf_dir)).select("field_name", "term", "n_records", "n_occurrences", "mark")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

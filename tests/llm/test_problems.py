@@ -54,13 +54,26 @@ def test_sample_meets_quotas(spark):
     rows = [(i, "a", "b", "train" if i % 3 else " Train", None, "EJA" if i < 800 else "ALG" if i < 980 else "mix" if i < 990 else "?") for i in range(1000)] + [(None, "a", "b", "train", None, "EJA"), (2000, "a", "b", None, None, "EJA")]
     targets = spark.createDataFrame([("train", "spelling", 0.5, 0.4, 5), ("train", "algospeak", 0.4, 0.4, 5), ("train", "mixed", 0.1, 0.4, 20), ("train", "syntactic", 0.0, 0.4, 3), ("val", "spelling", 1.0, 0.5, 1), ("val", None, 1.0, 0.5, 1), ("train", "mixed", 0.1, 0.4, 20)], "split string, category string, target_share double, sample_fraction double, min_rows bigint")
     df = meta(spark, rows)
-    report = {(r.split, r.category): r for r in proportions.report(proportions.reservoirs(df), targets).collect()}
+    report = {(r.split, r.category): r for r in proportions.report(proportions.reservoirs(df, targets), targets).collect()}
     assert report["train", "spelling"].quota == 198 and report["train", "algospeak"].quota == 159 and not report["train", "algospeak"].exhausted
     assert report["train", "mixed"].quota == 10 and report["train", "mixed"].exhausted and report["train", "syntactic"].exhausted and report["val", "spelling"].exhausted and len(report) == 5
     got = proportions.sample(df, targets)
     assert {r.category: r["count"] for r in got.groupBy("category").count().collect()} == {"spelling": 198, "algospeak": 159, "mixed": 10}
     assert {r.id for r in got.collect()} == {r.id for r in proportions.sample(df.repartition(5), targets).collect()}
-    assert proportions.sample(df.limit(0), targets).count() == 0 and proportions.report(proportions.reservoirs(df.limit(0)), targets).where("exhausted").count() == 5
+    assert proportions.sample(df.limit(0), targets).count() == 0 and proportions.report(proportions.reservoirs(df.limit(0), targets), targets).where("exhausted").count() == 5
+
+
+def test_reservoirs_keep_no_more_than_a_quota_can_be(spark, monkeypatch):
+    monkeypatch.setattr(proportions, "SLACK", 10)
+    df = meta(spark, [(i, "a", "b", "train", None, "EJA" if i % 10 else "ALG") for i in range(1000)]).repartition(3)
+    targets = spark.createDataFrame([("train", "spelling", 0.1, 0.5, 5), ("train", "algospeak", 0.9, 0.5, 5)], "split string, category string, target_share double, sample_fraction double, min_rows bigint")
+    state = proportions.reservoirs(df, targets)
+    kept = {r.category: r["count"] for r in state.where("id is not null").groupBy("category").count().collect()}
+    assert 50 <= kept["spelling"] <= 3 * 51 and kept["algospeak"] == 100
+    lowest = lambda category, n: {r.id for r in proportions.named(proportions.known(df)).withColumn("p", ranking.priority(F.col("id"))).where(F.col("category") == category).orderBy("p", "id").limit(n).collect()}
+    got = proportions.sample(df, targets)
+    assert {r.id for r in got.where("category = 'spelling'").collect()} == lowest("spelling", 50)
+    assert {r.id for r in got.where("category = 'algospeak'").collect()} == lowest("algospeak", 100)
 
 
 def test_ranks_are_exact(spark):
@@ -141,7 +154,7 @@ def test_terms_with_recursive_splits(spark):
     for limit in (10**6, 3):
         got = {(r.field_name, r.term): (r.n_records, r.n_occurrences) for r in terms.count_terms(texts, limit).collect()}
         assert got == {k: (len(set(v)), len(v)) for k, v in want.items()}
-    marks = {r.term: r["mark"] for r in terms.marked(terms.count_terms(texts), terms.holding_records(texts)).where("field_name = 'f'").collect()}
+    marks = {r.term: r["mark"] for r in terms.marked(texts).where("field_name = 'f'").collect()}
     assert marks["umum"] == "common" and marks["jarang5"] == "rare" and marks["kata9"] is None and marks["lain"] == "rare"
     assert terms.count_terms(texts.limit(0)).count() == 0
 
