@@ -54,12 +54,12 @@ def events(true: Column, seen: Column) -> Column:
 
 
 def edit_counts(df: DataFrame, src: str, hyp: str, ref: str, keep: tuple[str, ...] = (), spacing: bool = True) -> DataFrame:
-    """tp, fp, fn of the edits from source to hypothesis against those to the reference, in lower case."""
+    """tp, fp, fn of the edits from source to hypothesis against those to the reference, in lower case, summed over rows that are equal in all columns."""
     form = lambda c: mend_spacing(F.lower(F.coalesce(F.col(c), F.lit("")))) if spacing else F.lower(F.coalesce(F.col(c), F.lit("")))
-    base = df.select(*keep, form(src).alias("s"), form(hyp).alias("h"), form(ref).alias("r"))
-    rows = spread(base).select(*keep, edits(F.col("s"), F.col("h")).alias("got"), edits(F.col("s"), F.col("r")).alias("want"))
-    both = F.size(F.array_intersect("got", "want"))
-    return rows.select(*keep, both.alias("tp"), F.size(F.array_except("got", "want")).alias("fp"), F.size(F.array_except("want", "got")).alias("fn"))
+    base = df.groupBy(*keep, form(src).alias("s"), form(hyp).alias("h"), form(ref).alias("r")).agg(F.count("*").alias("times"))  # equal rows are aligned once
+    rows = spread(base).select(*keep, "times", edits(F.col("s"), F.col("h")).alias("got"), edits(F.col("s"), F.col("r")).alias("want"))
+    count = lambda a: F.size(a) * F.col("times")
+    return rows.select(*keep, count(F.array_intersect("got", "want")).alias("tp"), count(F.array_except("got", "want")).alias("fp"), count(F.array_except("want", "got")).alias("fn"))
 
 
 def edit_prf(counts: DataFrame) -> DataFrame:
@@ -68,10 +68,12 @@ def edit_prf(counts: DataFrame) -> DataFrame:
 
 def channel(df: DataFrame, true: str, seen: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ch, outcome, n) of substitutions and deletions, (ch, n) of insertions, and one row with n_pairs and ins_rate."""
-    rows = spread(df.where(F.col(true).isNotNull() & F.col(seen).isNotNull()).select(true, seen)).select(true, events(F.col(true), F.col(seen)).alias("e"))
+    pairs = df.where(F.col(true).isNotNull() & F.col(seen).isNotNull()).groupBy(true, seen).agg(F.count("*").alias("times"))  # equal pairs are aligned once
+    rows = spread(pairs).select(true, "times", events(F.col(true), F.col(seen)).alias("e"))
     rows = checkpointed(rows)  # three results rest on one alignment
-    counts = rows.select(F.explode("e").alias("e")).groupBy("e.ch", "e.outcome").agg(F.count("*").alias("n"))
-    rate = rows.agg(F.count("*").alias("n_pairs"), ratio(F.sum(F.size(F.filter("e", lambda x: x["ch"] == ""))).cast("double"), F.sum(F.greatest(F.length(true), F.lit(1))).cast("double")).alias("ins_rate"))
+    counts = rows.select("times", F.explode("e").alias("e")).groupBy("e.ch", "e.outcome").agg(F.sum("times").alias("n"))
+    inserted, letters = F.size(F.filter("e", lambda x: x["ch"] == "")), F.greatest(F.length(true), F.lit(1))
+    rate = rows.agg(F.sum("times").alias("n_pairs"), ratio(F.sum(inserted * F.col("times")).cast("double"), F.sum(letters * F.col("times")).cast("double")).alias("ins_rate"))
     return counts.where("ch <> ''"), counts.where("ch = ''").select(F.col("outcome").alias("ch"), "n"), rate
 
 
@@ -84,8 +86,10 @@ def error_prone(counts: DataFrame, least: int = 20, top: int = 15, others: int =
     return rows.where(F.col("total") >= least).orderBy(F.col("error_rate").desc(), "ch").limit(top)
 
 
-def greedy_pieces(vocabulary: frozenset[str], unknown: str = "[UNK]", longest: int = 100):
-    """A column function: words cut into the longest pieces that a supplied vocabulary has, `##` before those inside a word."""
+def greedy_pieces(vocabulary: frozenset[str], unknown: str = "[UNK]", longest: int | None = None):
+    """A column function: words cut into the longest pieces that a supplied vocabulary has, `##` before those inside a word. Pieces of any length are
+    matched, unless a longest one is given."""
+    longest = longest or max(map(len, vocabulary), default=1)
 
     def cut(word: str) -> list[str]:
         out, at = [], 0

@@ -45,14 +45,15 @@ def _beside(q: int, n: int) -> tuple[int, int, int]:
 
 
 def sweep(df: DataFrame, score_: str, edits_src: str, edits_hyp: str, length: str, taus: DataFrame) -> DataFrame:
-    """(q, tau, cer, applied): the corpus error rate at each threshold, in one pass over the scores.
-
-    Rows are first added up by distinct score; from there on each threshold is the sum over scores at or above it plus what the sources leave below.
-    """
-    by_score = df.groupBy(F.col(score_).alias("s")).agg(F.sum(F.col(edits_hyp) - F.col(edits_src)).alias("gain"), F.count("*").alias("n"))
-    total = df.agg(F.sum(edits_src).alias("base"), F.sum(length).alias("len"), F.count("*").alias("rows"))
-    at = F.broadcast(taus).join(by_score, F.col("s") >= F.col("tau"), "left").groupBy("q", "tau").agg(F.coalesce(F.sum("gain"), F.lit(0)).alias("gain"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return at.join(F.broadcast(total)).select("q", "tau", ratio((F.col("base") + F.col("gain")).cast("double"), F.col("len").cast("double")).alias("cer"), ratio(F.col("n").cast("double"), F.col("rows").cast("double")).alias("applied"))
+    """(q, tau, cer, applied): the corpus error rate at each threshold. One aggregate with a conditional sum for each threshold, so one scan and no join."""
+    at = sorted((r.q, r.tau) for r in taus.collect())  # percentiles: 101 rows at most
+    over = lambda tau: F.col(score_) >= F.lit(tau)
+    sums = [F.struct(F.lit(q).alias("q"), F.lit(tau).alias("tau"), F.sum(F.when(over(tau), F.col(edits_hyp)).otherwise(F.col(edits_src))).alias("edits"), F.count_if(over(tau)).alias("n")) for q, tau in at]
+    one = df.agg(F.array(*sums).alias("at"), F.sum(length).alias("len"), F.count("*").alias("rows")) if at else None
+    if one is None:
+        return df.sparkSession.createDataFrame([], "q int, tau double, cer double, applied double")
+    flat = one.select(F.explode("at").alias("x"), "len", "rows").select("x.*", "len", "rows")
+    return flat.select("q", "tau", ratio(F.col("edits").cast("double"), F.col("len").cast("double")).alias("cer"), ratio(F.col("n").cast("double"), F.col("rows").cast("double")).alias("applied"))
 
 
 def best(sweep_: DataFrame, no_correction: Column) -> DataFrame:

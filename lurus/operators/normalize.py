@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurus.functions.text import has_letter, punct_parts, tokens
-from lurus.operators.resources import small
-from lurus.plans.session import checkpointed
 
 #: What a sign may stand for, in order of preference.
 OPTIONS = {"4": "a", "@": "a", "3": "e", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "2": "z", "1": "il", "!": "i", "v": "vu"}
@@ -38,11 +36,9 @@ def skeleton(word: Column) -> Column:
     return F.translate(word, "4@305$78921!lv", "aaeosstbgziiiu")
 
 
-def _fits(disguised: Column, word: Column, leet: bool) -> Column:
+def _fits(disguised: Column, word: Column) -> Column:
     """Whether each character of a word is what the one of the disguised core at its place may stand for."""
     chars = lambda t: F.filter(F.split(t, ""), lambda c: c != "")
-    if not leet:
-        return disguised == word
     ok = lambda d, w: F.when(d == "1", w.isin("i", "l")).when(d == "v", w.isin("u", "v")).otherwise(F.translate(d, LEET, "".join(OPTIONS[k][0] for k in LEET)) == w)
     return F.forall(F.zip_with(chars(disguised), chars(word), ok), lambda x: x)
 
@@ -53,44 +49,53 @@ def _order(disguised: Column, word: Column) -> Column:
     return F.array_join(F.zip_with(chars(disguised), chars(word), lambda d, w: F.when((d == "v") & (w == "v"), "a").when((d == "v") & (w == "u"), "b").otherwise(w)), "")
 
 
-def spellings(core: Column, parts: Parts) -> Column:
+def spellings(core: Column, leet: Column, censor: Column) -> Column:
     """The number of spellings that the options of a core multiply to."""
     count = lambda chars: F.length(core) - F.length(F.translate(core, chars, ""))
-    two = F.pow(F.lit(2), count("1v")) if parts.leet else F.lit(1)
-    return two * (F.pow(F.lit(26), count("*")) if parts.censor else F.lit(1))
+    return F.when(leet, F.pow(F.lit(2), count("1v"))).otherwise(F.lit(1)) * F.when(censor, F.pow(F.lit(26), count("*"))).otherwise(F.lit(1))
+
+
+def decide_all(cores: DataFrame, words: DataFrame, rules: DataFrame, *by: str) -> DataFrame:
+    """(*by, low, out, how) of (*by, low, lookup, leet, censor, words_of, rules_of): the cores that change in each of several runs, what to, and by which
+    part. A run is a value of the columns `by`; its rows say which parts are on, and by `words_of` and `rules_of` which words (words_of, w, f) and rules
+    (rules_of, variant, target) it has. Any number of runs is one plan, in which words and rules stand once."""
+    on = [*by, "low"]
+    low = cores.where(has_letter(F.col("low"))).distinct()
+    known = low.join(words.select("words_of", F.col("w").alias("low"), F.lit(True).alias("valid")), ["words_of", "low"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    known = known.join(rules.select("rules_of", F.col("variant").alias("low"), "target"), ["rules_of", "low"], "left")
+    ruled = F.col("target").isNotNull() & ~F.col("valid") & F.col("lookup")
+    looked = known.where(ruled).select(*on, F.col("target").alias("out"), F.lit("lookup").alias("how"))
+    signs = F.col("low").rlike(f"[{LEET.replace('$', chr(92) + '$')}*]")
+    rest = known.where(~ruled & (signs | (~F.col("valid") & F.contains(F.col("low"), F.lit("v")))))
+    rest = rest.where(spellings(F.col("low"), F.col("leet"), F.col("censor")) <= MOST)
+    filled = rest.select(*on, "words_of", "leet", "censor", F.col("low").alias("form"))
+    star = F.col("censor") & F.contains(F.col("form"), F.lit("*"))
+    letters = F.filter(F.split(F.lit(STAR), ""), lambda c: c != "")
+    one = F.transform(letters, lambda c: F.regexp_replace(F.col("form"), r"^([^*]*)\*", F.concat(F.lit("$1"), c)))
+    for _ in range(2):  # within the bound there are two stars at most
+        filled = filled.withColumn("form", F.explode(F.when(star, one).otherwise(F.array("form"))))
+    forms = filled.where(~F.contains(F.col("form"), F.lit("*"))).withColumn("k", F.when(F.col("leet"), skeleton(F.col("form"))).otherwise(F.col("form")))
+    keyed = words.select("words_of", "w", "f", F.explode(F.array(F.struct(F.lit(True).alias("leet"), skeleton(F.col("w")).alias("k")), F.struct(F.lit(False).alias("leet"), F.col("w").alias("k")))).alias("x")).select("words_of", "w", "f", "x.*")
+    hits = forms.join(keyed, ["words_of", "leet", "k"])
+    hits = hits.where((F.length("form") == F.length("w")) & F.when(F.col("leet"), _fits(F.col("form"), F.col("w"))).otherwise(F.col("form") == F.col("w")))
+    best = hits.groupBy(*on).agg(F.min_by("w", F.struct(-F.col("f"), _order(F.col("low"), F.col("w")))).alias("out"))
+    return looked.union(best.where("out <> low").select(*on, "out", F.lit("decoded").alias("how")))
 
 
 def decide(cores: DataFrame, words: DataFrame, rules: DataFrame, parts: Parts = Parts()) -> DataFrame:
     """(low, out, how) of (low): the cores that change, what to, and by which part."""
-    words, rules = small(words), small(rules)
-    low = cores.where(has_letter(F.col("low"))).select("low").distinct()
-    known = low.join(words.select(F.col("w").alias("low"), F.lit(True).alias("valid")), "low", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
-    known = known.join(rules.select(F.col("variant").alias("low"), "target"), "low", "left")
-    looked = known.where(F.col("target").isNotNull() & ~F.col("valid") & F.lit(parts.lookup)).select("low", F.col("target").alias("out"), F.lit("lookup").alias("how"))
-    signs = F.col("low").rlike(f"[{LEET.replace('$', chr(92) + '$')}*]")
-    rest = known.where((F.col("target").isNull() | F.col("valid") | F.lit(not parts.lookup)) & (signs | (~F.col("valid") & F.contains(F.col("low"), F.lit("v")))))
-    rest = rest.where(spellings(F.col("low"), parts) <= MOST).select("low")
-    filled = rest.select("low", F.col("low").alias("form"))
-    if parts.censor:  # within the bound there are two stars at most
-        letters = F.split(F.lit(STAR), "")
-        for _ in range(2):
-            one = F.transform(F.filter(letters, lambda c: c != ""), lambda c: F.regexp_replace(F.col("form"), r"^([^*]*)\*", F.concat(F.lit("$1"), c)))
-            filled = filled.select("low", F.explode(F.when(F.contains(F.col("form"), F.lit("*")), one).otherwise(F.array("form"))).alias("form"))
-    forms = filled.where(~F.contains(F.col("form"), F.lit("*")))
-    key = skeleton if parts.leet else (lambda c: c)
-    hits = forms.withColumn("k", key(F.col("form"))).join(words.select("w", "f", key(F.col("w")).alias("k")), "k")
-    hits = hits.where((F.length("form") == F.length("w")) & _fits(F.col("form"), F.col("w"), parts.leet))
-    best = hits.groupBy("low").agg(F.min_by("w", F.struct(-F.col("f"), _order(F.col("low"), F.col("w")))).alias("out"))
-    return looked.union(best.where("out <> low").select("low", "out", F.lit("decoded").alias("how")))
+    run = cores.select("low", *(F.lit(x).alias(n) for n, x in (("lookup", parts.lookup), ("leet", parts.leet), ("censor", parts.censor), ("words_of", ""), ("rules_of", ""))))
+    return decide_all(run, words.withColumn("words_of", F.lit("")), rules.withColumn("rules_of", F.lit("")))
 
 
 def normalize(df: DataFrame, id_col: str, text_col: str, words: DataFrame, rules: DataFrame, parts: Parts = Parts()) -> DataFrame:
     """(id, normalized) for unique ids. Tokens are joined by single blanks; null texts stay null.
 
-    Texts are put together again from their changed tokens alone: unchanged texts never enter the second shuffle.
+    Texts are put together again from their changed tokens alone: unchanged texts never enter the second shuffle. It is one plan without an action of its
+    own; what is joined by broadcast the planner decides by size.
     """
     base = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"), F.col(text_col).isNull().alias("none"))
-    renewed = small(changed_tokens(base.select(F.explode("ts").alias("t")), words, rules, parts))
+    renewed = changed_tokens(base.select(F.explode("ts").alias("t")), words, rules, parts)
     hits = base.select("id", F.posexplode("ts").alias("pos", "t")).join(renewed, "t")
     changed = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "renewed"))).alias("new"))
     text = F.array_join(F.transform("ts", lambda t, i: F.coalesce(F.element_at("new", i), t)), " ")
@@ -101,5 +106,4 @@ def changed_tokens(occurrences: DataFrame, words: DataFrame, rules: DataFrame, p
     """(t, renewed) of (t): the distinct tokens that change. Only distinct tokens are taken apart."""
     lead, middle, trail = punct_parts(F.col("t"))
     distinct = occurrences.distinct().where(has_letter(F.col("t"))).select("t", lead.alias("lead"), F.lower(middle).alias("low"), trail.alias("trail"))
-    distinct = checkpointed(distinct)
-    return checkpointed(distinct.join(decide(distinct.select("low"), words, rules, parts), "low").select("t", F.concat("lead", "out", "trail").alias("renewed")))
+    return distinct.join(decide(distinct.select("low"), words, rules, parts), "low").select("t", F.concat("lead", "out", "trail").alias("renewed"))

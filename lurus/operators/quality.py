@@ -59,6 +59,12 @@ def columns_missing(df: DataFrame, needed: dict[str, tuple[str, ...]]) -> list[s
     return [n for n, others in needed.items() if not have & {n.lower(), *(o.lower() for o in others)}]
 
 
+def columns_extra(df: DataFrame, needed: dict[str, tuple[str, ...]]) -> list[str]:
+    """Columns of the frame that no needed column goes by."""
+    known = {x.lower() for n, others in needed.items() for x in (n, *others)}
+    return [c for c in df.columns if c.lower() not in known]
+
+
 def file_integrity(df: DataFrame, path: str, files: DataFrame) -> DataFrame:
     """One row: how many listed files are missing or empty, sizes, and what all rows would take at the mean size. files: (name, length), as from binaryFile."""
     name = F.regexp_extract(F.col(path), r"([^/\\]+)$", 1)

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from lurus.functions.text import core, squeeze, tokens
 
 LEAST_FREQUENCY, LEAST_LENGTH = 2, 2
-#: Tables that normalisation looks words up in are broadcast up to so many rows; beyond, they are joined by shuffle.
-BROADCAST_ROWS = 500_000
+#: Tables that normalisation looks words up in are broadcast up to so many rows and bytes; beyond, they are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """The frame, marked for broadcast if a look at one row more than the bound shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """The frame, marked for broadcast if a look at one row more than the bound shows that it is small in rows and bytes. What the planner itself expects
+    to be small enough is left to it, without a look."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold():
+        return df
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.octet_length(F.to_json(F.array(c))) if kind.startswith(("array", "map", "struct")) else F.lit(8) for c, kind in df.dtypes), start=F.lit(8))
+    n, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def lexicon(words: DataFrame, word: str = "w", freq: str = "f") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lurus.functions.stats import draw
 from lurus.functions.text import key_form
+from lurus.operators.ranking import cut_by_rank
 from lurus.operators.resources import small
 from lurus.plans.indexing import row_index
 
@@ -71,10 +72,9 @@ def unused(df: DataFrame, text: str, used: DataFrame, used_text: str) -> DataFra
 
 
 def take_budget(df: DataFrame, group: str, budgets: DataFrame, id_col: str, ok: Column, seed: int = 42) -> DataFrame:
-    """Of each group the first rows in hashed order that are fine, up to its budget (group, budget)."""
-    w = Window.partitionBy(group).orderBy(hashed(seed, id_col), id_col)
-    rows = df.where(ok).join(F.broadcast(budgets), group)
-    return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= F.col("budget")).drop("_rank", "budget")
+    """Of each group the first rows in hashed order that are fine, up to its budget (group, budget). No group is sorted in one task."""
+    cuts = budgets.select(group, F.lit(0).cast("long").alias("lo"), F.col("budget").cast("long").alias("hi")).where("hi > 0")
+    return cut_by_rank(df.where(ok), [group], id_col, cuts, seed).select(*df.columns)
 
 
 def shuffled(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

@@ -74,6 +74,15 @@ def scope_counts(scope: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.agg(*prf(F.count_if(hit & (F.col("to") == F.col("gold"))), F.count_if(~hit & F.col("clean") & (F.col("to") != F.col("low"))), F.count_if(hit & (F.col("to") != F.col("gold")))))
 
 
+def scope_runs(scope: DataFrame, changes: DataFrame, run: str, *more: str) -> DataFrame:
+    """The same for each of several runs: scope tokens (run, *more, low, gold, clean) and changes (run, low, out). Equal tokens are added up before the join."""
+    tokens_ = scope.groupBy(run, *more, "low", "gold", "clean").agg(F.count("*").alias("times"))
+    rows = tokens_.join(changes.select(run, "low", "out"), [run, "low"], "left").withColumn("to", F.coalesce("out", "low"))
+    hit, times = F.col("gold").isNotNull(), F.col("times")
+    total = lambda c: F.coalesce(F.sum(F.when(c, times)), F.lit(0))
+    return rows.groupBy(run, *more).agg(*prf(total(hit & (F.col("to") == F.col("gold"))), total(~hit & F.col("clean") & (F.col("to") != F.col("low"))), total(hit & (F.col("to") != F.col("gold")))))
+
+
 def scope_report(scope: DataFrame, changes: DataFrame, limit: int = 20) -> DataFrame:
     """(id, pos, low, predicted, gold, hit) of the first tokens that have a target."""
     rows = scope.where("gold is not null").join(changes.select("low", "out"), "low", "left").withColumn("predicted", F.coalesce("out", "low"))
@@ -89,3 +98,25 @@ def token_function_counts(scope: DataFrame, function) -> DataFrame:
 
     low = scope.select("low").distinct()
     return scope_counts(scope, low.select("low", udf("low").alias("out")).where("out <> low"))
+
+
+#: The main metric of each layer, and how its counters are made and summed.
+PRIMARY = {"L1": "CER", "L2": "F0.5", "L3": "F0.5", "E2E": "CER"}
+
+
+def layer_metrics(layer: str) -> dict[str, Column]:
+    """Named metrics of a layer over its counters: edits (c_hyp, r_len, w_hyp, r_words) for L1 and E2E, tp, fp, fn for L2 and L3."""
+    if layer not in PRIMARY:
+        raise ValueError(f"layer is one of {tuple(PRIMARY)}")
+    if PRIMARY[layer] == "CER":
+        return {"CER": micro("c_hyp", "r_len"), "WER": micro("w_hyp", "r_words")}
+    tp, fp, fn = (F.coalesce(F.sum(c), F.lit(0)) for c in ("tp", "fp", "fn"))
+    return dict(zip(("tp", "fp", "fn", "P", "R", "F1", "F0.5"), prf(tp, fp, fn)))
+
+
+def evaluated(counters: DataFrame, layer: str, group: str = "category") -> DataFrame:
+    """(category, n, *metrics of the layer, primary), one row for each category in order and one for ALL, which comes last."""
+    metrics = layer_metrics(layer)
+    rows = with_total(counters, group, F.count("*").alias("n"), *(c.alias(k) for k, c in metrics.items()))
+    named = rows.select(F.when(F.col("is_total") == 1, "ALL").otherwise(F.col(group)).alias(group), "is_total", "n", *(F.col(f"`{k}`") for k in metrics), F.col(f"`{PRIMARY[layer]}`").alias("primary"))
+    return named.orderBy("is_total", group).drop("is_total")

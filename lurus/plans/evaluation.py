@@ -9,7 +9,7 @@ from lurus.functions import text as T
 from lurus.functions.stats import binomial_p, ratio
 from lurus.operators import align, coverage, gating, resampling, resources, scoring
 from lurus.operators.normalize import decide, normalize
-from lurus.plans.registry import Registry, draw, nopunct, over, prf, squeezed, token_list, word_distance
+from lurus.plans.registry import Registry, char_distance, draw, nopunct, over, prf, squeezed, token_list, word_distance
 from lurus.plans.session import checkpointed, table
 
 query = Registry()
@@ -48,18 +48,14 @@ def cer_by_category(spark, sf_dir):
 
 
 def _cer_sql(mode: str, f) -> str:
-    return f"SELECT '{mode}' AS mode, round({over(f'sum(levenshtein({f(chr(115))}, {f(chr(114))}))', f'sum(length({f(chr(114))}))')}, 6) AS cer FROM q"
+    return f"SELECT '{mode}' AS mode, round({over(f'sum({char_distance(f(chr(115)), f(chr(114)))})', f'sum(length({f(chr(114))}))')}, 6) AS cer FROM q"
 
 
-ASCII = "regexp_replace(coalesce({0}, ''), '[^ -~]', '', 'g')"
-
-
-@query(f"""WITH q AS (SELECT {ASCII.format('source')} AS s, {ASCII.format('kalimat_koreksi')} AS r FROM {PRED})
+@query(f"""WITH q AS (SELECT coalesce(source, '') AS s, coalesce(kalimat_koreksi, '') AS r FROM {PRED})
 {_cer_sql('raw', lambda x: x)} UNION ALL {_cer_sql('lower', lambda x: squeezed(f'lower({x})'))} UNION ALL {_cer_sql('lower_nopunct', nopunct)}""")
 def cer_modes(spark, sf_dir):
-    """Micro rates under each normal form. Texts are cut to ASCII first, as the SQL side's edit distance counts bytes."""
-    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
-    rows = predictions(spark, sf_dir).select(plain("source").alias("s"), plain("kalimat_koreksi").alias("r"))
+    """Micro rates under each normal form."""
+    rows = predictions(spark, sf_dir).select(F.col("source").alias("s"), F.col("kalimat_koreksi").alias("r"))
     flat = rows.select(F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), T.normal(F.col("s"), m).alias("s"), T.normal(F.col("r"), m).alias("r")) for m in T.MODES))).alias("x")).select("x.*")
     return flat.groupBy("mode").agg(r6(ratio(F.sum(F.levenshtein("s", "r")).cast("double"), F.sum(F.length("r")).cast("double"))).alias("cer"))
 
@@ -197,7 +193,7 @@ def lexicon_augmented(spark, sf_dir):
 
 CORE = "lower(regexp_replace({0}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))"
 SCOPE = f"""ann AS (SELECT DISTINCT ann_id, sentences FROM annotations), se AS (SELECT ann_id, unnest(sentences) AS s, generate_subscripts(sentences, 1) AS n FROM ann),
-sn AS (SELECT ann_id * 1000 + n - 1 AS id, s.teks_ocr AS txt, coalesce(list_filter(s.errors, lambda e: e IS NOT NULL), []) AS errors FROM se WHERE s IS NOT NULL),
+sn AS (SELECT concat_ws(':', ann_id, n - 1) AS id, s.teks_ocr AS txt, coalesce(list_filter(s.errors, lambda e: e IS NOT NULL), []) AS errors FROM se WHERE s IS NOT NULL),
 tk AS (SELECT id, unnest({token_list('txt')}) AS t, errors FROM sn),
 sc AS (SELECT id, {CORE.format('t')} AS low, list_filter(errors, lambda e: upper({squeezed('e.category')}) = 'ALG' AND len({token_list('e.token_salah')}) = 1 AND {squeezed("coalesce(e.token_benar, '')")} <> '') AS g,
 list_transform(flatten(list_transform(errors, lambda e: {token_list('e.token_salah')})), lambda w: {CORE.format('w')}) AS wrong FROM tk),
@@ -209,7 +205,7 @@ def scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "annotations").select("ann_id", "sentences").distinct()
     s = a.select("ann_id", F.posexplode("sentences").alias("n", "s")).where("s is not null")
     errors = F.coalesce(F.filter("s.errors", lambda e: e.isNotNull()), F.array().cast("array<struct<token_salah:string,token_benar:string,category:string>>"))
-    return scoring.scope_tokens(s.select((F.col("ann_id") * 1000 + F.col("n")).alias("id"), F.col("s.teks_ocr").alias("text"), errors.alias("errors")), "ALG")
+    return scoring.scope_tokens(s.select(F.concat_ws(":", "ann_id", "n").alias("id"), F.col("s.teks_ocr").alias("text"), errors.alias("errors")), "ALG")
 
 
 def _ablation_sql() -> str:
@@ -240,11 +236,11 @@ def edit_prf(spark, sf_dir):
 
 # Resampling and tests
 
-B = 200
+B, PAIRED = 1000, 5000
 
 
-def _boot(sums: str) -> str:
-    return f"ix AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, * FROM f), n AS (SELECT count(*) AS n FROM f), d AS (SELECT rep, {draw('42', 'rep', 'k')} % n.n AS i FROM range({B}) r(rep), (SELECT i AS k FROM ix), n), reps AS (SELECT rep, {sums} FROM d JOIN ix USING (i) GROUP BY 1)"
+def _boot(sums: str, b: int = B) -> str:
+    return f"ix AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, * FROM f), n AS (SELECT count(*) AS n FROM f), d AS (SELECT rep, {draw('42', 'rep', 'k')} % n.n AS i FROM range({b}) r(rep), (SELECT i AS k FROM ix), n), reps AS (SELECT rep, {sums} FROM d JOIN ix USING (i) GROUP BY 1)"
 
 
 @query(f"""WITH {FACTS}, {_boot('sum(c_hyp) AS a, sum(r_len) AS b')}, v AS (SELECT list(a::DOUBLE / b ORDER BY a::DOUBLE / b) AS v FROM reps)
@@ -254,9 +250,9 @@ def boot_ci(spark, sf_dir, b=B):
     return out.select("n", *(r6(c).alias(c) for c in ("point", "lo", "hi")))
 
 
-@query(f"""WITH {FACTS}, g AS (SELECT id, round(cer_hyp - cer_source, 9) AS diff FROM f), {_boot('sum(diff) AS a').replace('FROM f)', 'FROM g)')}, m AS (SELECT round(a / (SELECT n FROM n), 9) AS m FROM reps), v AS (SELECT list(m ORDER BY m) AS v, avg((m > 0)::INT) AS above FROM m)
+@query(f"""WITH {FACTS}, g AS (SELECT id, round(cer_hyp - cer_source, 9) AS diff FROM f), {_boot('sum(diff) AS a', PAIRED).replace('FROM f)', 'FROM g)')}, m AS (SELECT round(a / (SELECT n FROM n), 9) AS m FROM reps), v AS (SELECT list(m ORDER BY m) AS v, avg((m > 0)::INT) AS above FROM m)
 SELECT (SELECT n FROM n) AS n, round((SELECT avg(diff) FROM g), 6) AS mean_diff, round(v[1 + floor(0.025 * len(v))::INT], 6) AS lo, round(v[floor(0.975 * len(v))::INT], 6) AS hi, round(2 * least(above, 1 - above), 6) AS p FROM v""")
-def paired_boot(spark, sf_dir, b=B):
+def paired_boot(spark, sf_dir, b=PAIRED):
     rows = checkpointed(facts(spark, sf_dir).select("id", F.round(F.col("cer_hyp") - F.col("cer_source"), 9).alias("diff")))
     return resampling.paired_bootstrap(rows, "id", "diff", b).select("n", *(r6(c).alias(c) for c in ("mean_diff", "lo", "hi", "p")))
 
@@ -277,24 +273,6 @@ def boot_f05(spark, sf_dir, b=B):
     return resampling.f_interval(checkpointed(counts), "id", b).select("n", *(r6(c).alias(c) for c in ("point", "lo", "hi")))
 
 
-# The SQL of the three above draws B replicates; these draw as many as the reference.
-
-
-@query()
-def boot_ci_whole(spark, sf_dir):
-    return boot_ci(spark, sf_dir, 1000)
-
-
-@query()
-def paired_boot_whole(spark, sf_dir):
-    return paired_boot(spark, sf_dir, 5000)
-
-
-@query()
-def boot_f05_whole(spark, sf_dir):
-    return boot_f05(spark, sf_dir, 1000)
-
-
 @query(f"WITH {FACTS}, v AS (SELECT list(r_len ORDER BY r_len) AS v FROM f) SELECT v[1 + floor(0.5 * len(v))::INT]::BIGINT AS median, v[1 + floor(0.95 * len(v))::INT]::BIGINT AS p95 FROM v")
 def length_places(spark, sf_dir):
     """Median and 95th percentile by place, as latencies are reported, of reference lengths."""
@@ -374,9 +352,64 @@ def oracle_gate(spark, sf_dir):
     return facts(spark, sf_dir).agg(r6(F.sum(best) / F.sum("r_len")).alias("cer_oracle"), r6((F.sum("c_hyp") - F.sum(best)) / F.sum("r_len")).alias("headroom"), r6(100 * F.avg((F.col("cer_hyp") < F.col("cer_source")).cast("int"))).alias("hyp_better_percent"))
 
 
-@query(f"""WITH q AS (SELECT id, {ASCII.format('source')} AS s, {ASCII.format('hyp')} AS h, coalesce(gec_score, -99.0) AS score FROM {PRED})
-SELECT id, CASE WHEN score >= -3.0 AND levenshtein(s, h) / greatest(length(s), 1)::DOUBLE <= 0.2 THEN h ELSE s END AS kept FROM q""")
+@query(f"""WITH q AS (SELECT id, source AS s0, coalesce(source, '') AS s, coalesce(hyp, '') AS h, coalesce(gec_score, -99.0) AS score FROM {PRED})
+SELECT id, CASE WHEN score >= -3.0 AND {char_distance('s', 'h')} / greatest(length(s), 1)::DOUBLE <= 0.2 THEN h ELSE s END AS kept FROM q""")
 def guarded_gate(spark, sf_dir):
-    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
-    rows = predictions(spark, sf_dir).select("id", plain("source").alias("s"), plain("hyp").alias("h"), gating.score(F.col("gec_score")).alias("score"))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = predictions(spark, sf_dir).select("id", text("source").alias("s"), text("hyp").alias("h"), gating.score(F.col("gec_score")).alias("score"))
     return rows.select("id", gating.gate(F.col("s"), gating.guarded(F.col("s"), F.col("h"), 0.2), F.col("score"), -3.0).alias("kept"))
+
+
+@query(f"""WITH {FACTS}, {TAUS}, w AS (SELECT q, tau, sum(CASE WHEN score >= tau THEN c_hyp ELSE c_source END)::DOUBLE / sum(r_len) AS cer FROM taus, f GROUP BY 1, 2), n AS (SELECT sum(c_source)::DOUBLE / sum(r_len) AS c FROM f),
+b AS (SELECT arg_min(q, (cer, q)) AS q, arg_min(tau, (cer, q)) AS tau, min(cer) AS cer FROM w) SELECT CASE WHEN cer < c THEN q END AS q, round(CASE WHEN cer < c THEN tau END, 6) AS tau, round(least(cer, c), 6) AS cer FROM b, n""")
+def best_threshold(spark, sf_dir):
+    """The first threshold that beats no correction at all."""
+    rows = checkpointed(facts(spark, sf_dir).select("score", "c_source", "c_hyp", "r_len"))
+    base = rows.agg((F.sum("c_source") / F.sum("r_len")).alias("c")).first().c
+    out = gating.best(gating.sweep(rows, "score", "c_source", "c_hyp", "r_len", gating.thresholds(rows, "score")), F.lit(base))
+    return out.select(F.col("q").cast("long").alias("q"), r6("tau").alias("tau"), r6("cer").alias("cer"))
+
+
+# Layers, rates of empty references, matches
+
+
+@query(f"""WITH {FACTS} SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, count(*) AS n, round({over('sum(c_hyp)', 'sum(r_len)')}, 6) AS cer, round({over('sum(w_hyp)', 'sum(r_words)')}, 6) AS wer,
+round({over('sum(c_hyp)', 'sum(r_len)')}, 6) AS main FROM f {SETS}""")
+def layer_recognition(spark, sf_dir):
+    out = scoring.evaluated(facts(spark, sf_dir), "L1")
+    return out.select("category", "n", r6("CER").alias("cer"), r6("WER").alias("wer"), r6("primary").alias("main"))
+
+
+@query(f"""WITH t AS (SELECT {GROUP} AS category, {token_list('source')} AS s, {token_list('hyp')} AS h, {token_list('kalimat_koreksi')} AS r FROM {PRED}),
+k AS (SELECT category, {KIND} AS k FROM t), c AS (SELECT category, len(list_filter(k, lambda x: x = 'tp')) AS tp, len(list_filter(k, lambda x: x = 'fp')) AS fp, len(list_filter(k, lambda x: x = 'fn')) AS fn FROM k),
+m AS (SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, count(*) AS n, {prf('sum(tp)', 'sum(fp)', 'sum(fn)')} FROM c {SETS}) SELECT category, n, p, r, f05 AS main FROM m""")
+def layer_normalisation(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select(F.coalesce(F.upper(T.squeeze(F.col("category"))), F.lit("?")).alias("category"), scoring.token_counts(F.col("source"), F.col("hyp"), F.col("kalimat_koreksi")).alias("c")).select("category", "c.*")
+    return scoring.evaluated(rows, "L2").select("category", "n", r6("P").alias("p"), r6("R").alias("r"), r6("primary").alias("main"))
+
+
+@query(f"""WITH q AS (SELECT id, {nopunct('hyp')} AS h, {nopunct('kalimat_koreksi')} AS r FROM {PRED}), d AS (SELECT *, levenshtein(h, r) AS e FROM q)
+SELECT id, round(CASE WHEN length(r) = 0 THEN (h <> '')::INT ELSE e / length(r)::DOUBLE END, 6) AS one, round(CASE WHEN length(r) = 0 THEN 0 ELSE e / length(r)::DOUBLE END, 6) AS zero, round(e / greatest(length(r), 1)::DOUBLE, 6) AS edits FROM d""")
+def empty_reference_rates(spark, sf_dir):
+    """Error rates under each rule for empty references."""
+    rows = predictions(spark, sf_dir).select("id", T.normal(F.col("hyp"), "lower_nopunct").alias("h"), T.normal(F.col("kalimat_koreksi"), "lower_nopunct").alias("r")).withColumn("e", T.char_edits(F.col("h"), F.col("r")))
+    return rows.select("id", *(r6(T.rate(F.col("e"), F.length("r"), F.col("h"), k).cast("double")).alias(k) for k in ("one", "zero", "edits")))
+
+
+_BARE = lambda x: f"lower(regexp_replace({x}, '^[{T.SPACE}]+|[{T.SPACE}]+$', '', 'g'))"
+_CORE = lambda x: f"lower(regexp_replace({x}, '^[[:punct:]]+|[[:punct:]]+$', '', 'g'))"
+
+
+@query(f"SELECT id, {_BARE('hyp')} = {_BARE('kalimat_koreksi')} AS exact, {_CORE('hyp')} = {_CORE('kalimat_koreksi')} AS same_core FROM {PRED}")
+def exact_matches(spark, sf_dir):
+    """Hypotheses equal to their correction but for case and outer white space, and but for case and outer marks."""
+    h, r = F.col("hyp"), F.col("kalimat_koreksi")
+    return predictions(spark, sf_dir).select("id", T.exact_match(h, r).alias("exact"), T.same_core(h, r).alias("same_core"))
+
+
+@query(f"WITH {LEX}, {RUL} SELECT 'lexicon' AS resource, count(*) AS entries, sum(octet_length(encode(w)))::BIGINT AS bytes FROM lex UNION ALL SELECT 'rules', count(*), sum(octet_length(encode(variant)) + octet_length(encode(target)))::BIGINT FROM rul")
+def resource_sizes(spark, sf_dir):
+    """Entries and bytes of what the normaliser rests on; the bench times it."""
+    words, rules = words_and_rules(spark, sf_dir)
+    size = lambda *cs: F.coalesce(F.sum(sum((F.octet_length(c) for c in cs), start=F.lit(0))), F.lit(0)).cast("long").alias("bytes")
+    return words.agg(F.lit("lexicon").alias("resource"), F.count("*").alias("entries"), size("w")).union(rules.agg(F.lit("rules"), F.count("*"), size("variant", "target")))

@@ -49,6 +49,14 @@ def word_distance(a: str, b: str) -> str:
     return f"levenshtein({packed(a)}, {packed(b)})"
 
 
+def char_distance(a: str, b: str) -> str:
+    """DuckDB's distance counts bytes: each different character of the two texts outside of printable ASCII first becomes one byte, up to 31 of them."""
+    odd = f"array_to_string(list_sort(list_distinct(regexp_extract_all({a} || {b}, '[^ -~]'))), '')"
+    pool = "array_to_string(list_transform(range(1, 32), lambda i: chr(i::INT)), '')"
+    packed = lambda x: f"translate({x}, {odd}, substr({pool}, 1, length({odd})))"
+    return f"levenshtein({packed(a)}, {packed(b)})"
+
+
 def draw(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 

@@ -64,4 +64,5 @@ def test_resources(spark):
 
 def test_sampling_of_resources(spark):
     words = spark.createDataFrame([(f"w{i}", i) for i in range(11)], "w string, f bigint")
-    assert [coverage.part_of(words, "w", f, 1).count() for f in (0, 0.5, 1)] == [0, 6, 11]
+    parts = coverage.parts_of(words, "w", [0.5, 0.25], 2)
+    assert {r.part: r["count"] for r in parts.groupBy("part").count().collect()} == {"0|0.5": 6, "1|0.5": 6, "0|0.25": 3, "1|0.25": 3}
