@@ -77,6 +77,11 @@ def channel(df: DataFrame, true: str, seen: str) -> tuple[DataFrame, DataFrame,
     return counts.where("ch <> ''"), counts.where("ch = ''").select(F.col("outcome").alias("ch"), "n"), rate
 
 
+def common_insertions(insertions: DataFrame, top: int = 40) -> DataFrame:
+    """(ch, n) of the symbols most often inserted."""
+    return insertions.orderBy(F.col("n").desc(), "ch").limit(top)
+
+
 def error_prone(counts: DataFrame, least: int = 20, top: int = 15, others: int = 3) -> DataFrame:
     """(ch, total, error_rate, alternatives): the characters most often misread, those seen at least `least` times."""
     wrong = F.col("outcome") != F.concat(F.lit("="), F.col("ch"))

@@ -8,18 +8,16 @@ from pyspark.sql import functions as F
 from lurus.functions.text import squeeze, tokens
 from lurus.operators.resources import small
 
-#: Special tokens in the order of their ids, and the tag of each category code.
+#: Special tokens in the order of their ids, and the tag of each category code and name.
 SPECIAL = ("<pad>", "<unk>", "<s>", "</s>")
 PAD, UNK, BOS, EOS = range(4)
-TAGS = {"ALG": "<semantic>", "SEM": "<semantic>", "SIN": "<syntactic>", "EJA": "<morphological>", "MOR": "<morphological>", "TIP": "<morphological>", "MIX": "<morphological>"}
-NAMED = {"ALGOSPEAK": "ALG", "SEMANTIC": "SEM", "SYNTACTIC": "SIN", "SPELLING": "EJA", "MORPHOLOGICAL": "MOR", "TYPOGRAPHIC": "TIP", "MIXED": "MIX"}
+TAGS = {"ALG": "<semantic>", "SEM": "<semantic>", "SIN": "<syntactic>", "EJA": "<morphological>", "MOR": "<morphological>", "TIP": "<morphological>", "MIX": "<morphological>", "ALGOSPEAK": "<semantic>", "SEMANTIC": "<semantic>", "SYNTACTIC": "<syntactic>", "SPELLING": "<morphological>", "MORPHOLOGICAL": "<morphological>", "TYPOGRAPHIC": "<morphological>", "MIXED": "<morphological>"}
 DEFAULT_TAG = "<morphological>"
-#: Grammar categories of the source corpus and the three they are grouped in.
+#: The group of each grammar category of the source corpus.
 GROUPS = {
-    "morphological": ("afiksasi", "pembentukan_kata", "reduplikasi"),
-    "syntactic": ("sintaksis_frasa", "preposisi", "kelengkapan_kalimat"),
-    "semantic": ("diksi", "ambigu", "pleonasme", "pleonasme_claude", "diksi_claude", "ambigu_claude"),
-}
+    "afiksasi": "morphological", "pembentukan_kata": "morphological", "reduplikasi": "morphological", "sintaksis_frasa": "syntactic", "preposisi": "syntactic", "kelengkapan_kalimat": "syntactic",
+    "diksi": "semantic", "ambigu": "semantic", "pleonasme": "semantic", "pleonasme_claude": "semantic", "diksi_claude": "semantic", "ambigu_claude": "semantic",
+}
 
 
 def mapped(value: Column, table: dict[str, str], default: str | None = None) -> Column:
@@ -30,11 +28,11 @@ def mapped(value: Column, table: dict[str, str], default: str | None = None) ->
 def tag(category: Column) -> Column:
     """The model's tag of a category given by name or code."""
     code = F.upper(squeeze(F.coalesce(category, F.lit(""))))
-    return mapped(code, TAGS | {n: TAGS[c] for n, c in NAMED.items()}, DEFAULT_TAG)
+    return mapped(code, TAGS, DEFAULT_TAG)
 
 
 def grammar_group(category: Column) -> Column:
-    return mapped(F.lower(squeeze(category)), {c: g for g, cs in GROUPS.items() for c in cs})
+    return mapped(F.lower(squeeze(category)), GROUPS)
 
 
 def with_tag(text: Column, tag_: Column) -> Column:
@@ -132,6 +130,19 @@ def unknown_tokens(df: DataFrame, text: str, known: DataFrame) -> DataFrame:
     return counts.join(small(known.select("token").distinct()), "token", "left_anti")
 
 
+def unknown_rate(df: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """One row: n tokens, how many of them the list of known ones lacks, and their rate."""
+    counts = df.select(F.explode(tokens(F.col(text), lower=True)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rows = counts.join(small(known.select("token", F.lit(True).alias("known")).distinct()), "token", "left")
+    unknown = F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0))
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), unknown.alias("unknown")).withColumn("rate", F.coalesce(F.try_divide("unknown", "n"), F.lit(0.0)))
+
+
+def in_categories(df: DataFrame, category: str, wanted: tuple[str, ...]) -> DataFrame:
+    """Rows of the wanted categories."""
+    return df.where(F.col(category).isin(*wanted))
+
+
 def code3(category: Column) -> Column:
     return F.upper(F.substring(category, 1, 3))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lurus.functions import text as T
 from lurus.operators import align, corrupt, dataset, plugins, quality, resources, sampling, synthetic
 from lurus.plans.evaluation import PRED, ocr, predictions
+from lurus.plans.indexing import row_index
 from lurus.plans.registry import Registry, draw, over, squeezed, token_list
 from lurus.plans.session import checkpointed, scratch, table
 from lurus.sources import readers, sinks
@@ -179,8 +180,6 @@ def held_out(spark, sf_dir):
 
 @query(f"SELECT image_id, row_number() OVER (ORDER BY {MD5('42', 'image_id')}, image_id) AS place FROM {META}")
 def global_shuffle(spark, sf_dir):
-    from lurus.plans.indexing import row_index
-
     rows = metadata(spark, sf_dir).select("image_id", sampling.hashed(42, "image_id").alias("key"))
     return row_index(rows, "key", "image_id").select("image_id", (F.col("i") + 1).alias("place"))
 
@@ -276,12 +275,81 @@ def char_differences(spark, sf_dir):
     return rows.select("image_id", T.differing_chars(F.col("src_text"), F.col("trg_text")).cast("long").alias("differing"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (image_id % 7 = 0) AS missing, 0::BIGINT AS empty, min(length(image_path)) FILTER (image_id % 7 <> 0) AS min_size FROM syn_metadata".replace("min(length(image_path)) FILTER (image_id % 7 <> 0)", "100::BIGINT"))
+@query("""WITH f AS (SELECT DISTINCT filename, primary_category FROM annotations WHERE filename IS NOT NULL), c AS (SELECT DISTINCT regexp_extract(crop, '([^/]+?)(_[^_/.]*)?(\\.[^./]*)?$', 1) AS stem FROM ocr_outputs),
+n AS (SELECT coalesce(primary_category, '?') AS name, count(*) AS n FROM f GROUP BY 1)
+SELECT count(*) AS n, 0::BIGINT AS missing, 0::BIGINT AS empty, min(octet_length(encode(name || ' ' || n)))::BIGINT AS min_size, max(octet_length(encode(name || ' ' || n)))::BIGINT AS max_size FROM n""")
 def file_integrity(spark, sf_dir):
-    """Listed images against a file list in which every seventh is missing."""
-    rows = metadata(spark, sf_dir).select("image_id", F.concat(F.lit("img/"), F.col("image_id"), F.lit(".png")).alias("path"))
-    files = rows.where("image_id % 7 <> 0").select(F.concat(F.col("image_id"), F.lit(".png")).alias("name"), F.lit(100).cast("long").alias("length"))
-    return quality.file_integrity(rows, "path", files).select("n", "missing", "empty", "min_size")
+    """Files written for each category of the annotations, read again and held against their list."""
+    f = table(spark, sf_dir, "annotations").where("filename is not null").select("filename", "primary_category").distinct()
+    counts = f.groupBy(F.coalesce("primary_category", F.lit("?")).alias("name")).agg(F.count("*").alias("n"))
+    rows = row_index(counts, "name", name="id").select("id", F.encode(F.concat_ws(" ", "name", "n"), "UTF-8").alias("content"))
+    folder = scratch(spark, "files").removeprefix("file:")
+    listed = checkpointed(sinks.files(rows, "id", "content", folder, "txt"))
+    return quality.file_integrity(listed.select(F.concat(F.lit("files/"), "name").alias("path")), "path", readers.images(spark, folder)).select("n", "missing", "empty", "min_size", "max_size")
+
+
+@query(f"""SELECT CASE WHEN grouping(category) = 1 THEN 'ALL' ELSE category END AS category, count(src_text) AS n, round(avg(length(src_text)), 6) AS mean_len, round(median(length(src_text)), 6) AS median_len, min(length(src_text)) AS min_len, max(length(src_text)) AS max_len FROM {META} GROUP BY GROUPING SETS ((category), ())""")
+def length_stats_all(spark, sf_dir):
+    """Lengths of each category and of all rows."""
+    rows = coded(metadata(spark, sf_dir))
+    stats = rows.groupingSets([[F.col("category")], []], F.col("category")).agg(F.grouping("category").alias("g"), *quality.length_stats("src_text", 90, 130))
+    return stats.select(F.when(F.col("g") == 1, "ALL").otherwise(F.col("category")).alias("category"), "n", F.round("mean_len", 6).alias("mean_len"), F.round("median_len", 6).alias("median_len"), F.col("min_len").cast("long").alias("min_len"), F.col("max_len").cast("long").alias("max_len"))
+
+
+NEEDED = {"image_id": ("id",), "src_text": ("source",), "trg_text": ("target",), "category": (), "split": (), "checksum": ()}
+
+
+@query("SELECT * FROM (VALUES ('missing', 'checksum'), ('extra', 'image_path'), ('extra', 'augmentation_intensity'), ('extra', 'origin')) t(kind, name)")
+def columns_check(spark, sf_dir):
+    """Needed columns that the corpus lacks, and those that nobody asked for."""
+    rows = metadata(spark, sf_dir)
+    found = [("missing", c) for c in quality.columns_missing(rows, NEEDED)] + [("extra", c) for c in quality.columns_extra(rows, NEEDED)]
+    return spark.createDataFrame(found, "kind string, name string")
+
+
+@query(f"SELECT image_id, category FROM {META} WHERE category IN ('EJA', 'TIP', 'SPE', 'TYP')")
+def category_rows(spark, sf_dir):
+    return dataset.in_categories(coded(metadata(spark, sf_dir)), "category", ("EJA", "TIP", "SPE", "TYP")).select("image_id", "category")
+
+
+@query(f"""WITH n AS (SELECT {CODE} AS category, count(*) AS n FROM syn_metadata GROUP BY 1) SELECT category, format('{{:,.1f}}', n * 1000 / 1e6) || ' MB' AS size, format('{{:,.1f}}', 100 * n / sum(n) OVER ()) || ' %' AS share,
+repeat('█', round(n * 40 / sum(n) OVER ())::INT) AS bar FROM n""")
+def share_report(spark, sf_dir):
+    """Categories as a report shows them: at 1,000 bytes a row."""
+    rows = coded(metadata(spark, sf_dir)).groupBy("category").agg(F.count("*").alias("n"))
+    total = F.broadcast(rows.agg(F.sum("n").alias("all")))  # one row
+    share = F.col("n") / F.col("all")
+    return rows.join(total).select("category", T.megabytes(F.col("n") * 1000).alias("size"), T.percent(share).alias("share"), T.bar(share).alias("bar"))
+
+
+@query(TEXT_ROWS)
+def scan_bad_lines(spark, sf_dir):
+    """A CSV with lines of too few and of too many fields, which the scan drops."""
+    path = scratch(spark, "bad") + ".csv"
+    sinks.delimited(text_rows(spark, sf_dir), path)
+    spark.createDataFrame([("id,category,source,hyp,gec_score\nx\n1,a,b,c,d,e,f\nnot a number,a,b,c,0.5",)], "value string").coalesce(1).write.mode("append").text(path)
+    out = readers.delimited(spark, path, TEXT_SCHEMA, drop_bad=True)
+    return out.select("id", "category", *(F.coalesce(c, F.lit("")).alias(c) for c in ("source", "hyp")), "gec_score")
+
+
+@query(f"SELECT 'a' AS run_id, {CODE} AS category, count(*) AS n FROM {PRED} GROUP BY 2 UNION ALL SELECT 'b', {CODE}, count(*) FROM ocr_outputs GROUP BY 2")
+def csv_runs(spark, sf_dir):
+    """Two runs added to one CSV folder, one of them twice."""
+    path = scratch(spark, "runs")
+    count = lambda df: coded(df).groupBy("category").agg(F.count("*").alias("n"))
+    for run, rows in (("a", predictions(spark, sf_dir)), ("b", table(spark, sf_dir, "ocr_outputs")), ("a", predictions(spark, sf_dir))):
+        sinks.run_csv(count(rows), path, run)
+    return spark.read.schema("category string, n long, run_id string").option("header", True).csv(path).select("run_id", "category", "n")
+
+
+@query(f"SELECT image_id, coalesce(length(src_text), 0)::BIGINT AS letters FROM {META}")
+def resumed_rows(spark, sf_dir):
+    """A job that was broken off after the evaluation splits, gone on with."""
+    rows, path = metadata(spark, sf_dir).select("image_id", "src_text", "split"), scratch(spark, "resumed")
+    make = lambda df: df.select("image_id", F.coalesce(F.length("src_text"), F.lit(0)).cast("long").alias("letters"))
+    sinks.resumed(rows.where(~dataset.in_split(F.col("split"), "train")), path, "image_id", make)
+    sinks.resumed(rows, path, "image_id", make)
+    return spark.read.parquet(path)
 
 
 # Dataset preparation
@@ -330,46 +398,27 @@ def vocabulary(spark, sf_dir):
     return vocab(spark, sf_dir)
 
 
-ENCODED = f"""{VOCAB}, e AS (SELECT id, list_slice({token_list('hyp')}, 1, 18) AS ts FROM {PRED}), x AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM e),
+ENCODED = f"""{VOCAB}, e AS (SELECT id, list_slice({token_list('hyp')}, 1, 126) AS ts FROM {PRED}), x AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS pos FROM e),
 g AS (SELECT id, list(coalesce(token_id, 1) ORDER BY pos) AS p FROM x LEFT JOIN vocab ON lower(t) = token GROUP BY 1), ids AS (SELECT id, list_concat([2], coalesce(p, []), [3])::BIGINT[] AS ids FROM e LEFT JOIN g USING (id))"""
 
 
 @query(f"WITH {ENCODED} SELECT id, ids FROM ids")
 def encoded(spark, sf_dir):
-    return dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=20)
+    return dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=128)
 
 
 @query(f"WITH {ENCODED}, u AS (SELECT id, unnest(ids) AS i, generate_subscripts(ids, 1) AS pos FROM ids), d AS (SELECT id, string_agg(token, ' ' ORDER BY pos) FILTER (i = 1 OR i >= 4) AS x FROM u LEFT JOIN vocab ON i = token_id GROUP BY 1) SELECT id, coalesce(x, '') AS text FROM d".replace("FILTER (i = 1 OR i >= 4)", "FILTER (i >= 4)"))
 def decoded(spark, sf_dir):
     v = checkpointed(vocab(spark, sf_dir))
-    return dataset.decode(dataset.encode(predictions(spark, sf_dir), "id", "hyp", v, bos=True, most=20), "id", "ids", v)
+    return dataset.decode(dataset.encode(predictions(spark, sf_dir), "id", "hyp", v, bos=True, most=128), "id", "ids", v)
 
 
 @query(f"WITH {ENCODED}, m AS (SELECT id, id // 32 AS batch, ids, max(len(ids)) OVER (PARTITION BY id // 32) AS l FROM ids) SELECT id, list_resize(ids, l, 0)::BIGINT[] AS padded, list_transform(range(1, l + 1), lambda i: (i <= len(ids))::INT) AS mask FROM m")
 def padded_batches(spark, sf_dir):
-    ids = dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=20)
+    ids = dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=128)
     return dataset.padded(ids.withColumn("batch", F.expr("id div 32")), "ids", "batch").select("id", "padded", "mask")
 
 
-# The SQL above cuts texts to 18 tokens; these keep the reference's 128.
-
-
-@query()
-def encoded_whole(spark, sf_dir):
-    return dataset.encode(predictions(spark, sf_dir), "id", "hyp", checkpointed(vocab(spark, sf_dir)), bos=True, most=128)
-
-
-@query()
-def decoded_whole(spark, sf_dir):
-    v = checkpointed(vocab(spark, sf_dir))
-    return dataset.decode(dataset.encode(predictions(spark, sf_dir), "id", "hyp", v, bos=True, most=128), "id", "ids", v)
-
-
-@query()
-def padded_batches_whole(spark, sf_dir):
-    return dataset.padded(encoded_whole(spark, sf_dir).withColumn("batch", F.expr("id div 32")), "ids", "batch").select("id", "padded", "mask")
-
-
 @query(f"""WITH lex AS (SELECT DISTINCT lower({squeezed('w')}) AS token FROM lexicon WHERE w IS NOT NULL), c AS (SELECT token, count(*) AS n FROM (SELECT lower(unnest({token_list('kalimat_koreksi')})) AS token FROM {PRED}) GROUP BY 1)
 SELECT token, n FROM c WHERE token NOT IN (SELECT token FROM lex) ORDER BY n DESC, token LIMIT 8""")
 def unknown_top(spark, sf_dir):
@@ -377,15 +426,24 @@ def unknown_top(spark, sf_dir):
     return dataset.unknown_tokens(predictions(spark, sf_dir), "kalimat_koreksi", known).orderBy(F.col("n").desc(), "token").limit(8)
 
 
-PIECES = "CASE WHEN length(t) > 5 THEN substr(t, 1, 4) || ' ##' || substr(t, 5) ELSE t END"
+@query(f"""WITH lex AS (SELECT DISTINCT lower({squeezed('w')}) AS token FROM lexicon WHERE w IS NOT NULL), c AS (SELECT token, count(*) AS n FROM (SELECT lower(unnest({token_list('kalimat_koreksi')})) AS token FROM {PRED}) GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, coalesce(sum(n) FILTER (token NOT IN (SELECT token FROM lex)), 0)::BIGINT AS unknown, round({over('coalesce(sum(n) FILTER (token NOT IN (SELECT token FROM lex)), 0)', 'sum(n)')}, 6) AS rate FROM c""")
+def unknown_rate(spark, sf_dir):
+    """Share of tokens that the word list lacks."""
+    known = table(spark, sf_dir, "lexicon").select(F.lower(T.squeeze(F.col("w"))).alias("token")).where("token is not null")
+    return dataset.unknown_rate(predictions(spark, sf_dir), "kalimat_koreksi", known).withColumn("rate", F.round("rate", 6))
 
 
-@query(f"SELECT id, array_to_string({token_list('hyp')}, ' ') AS text FROM (SELECT id, regexp_replace(hyp, '[^a-zA-Z ]', '', 'g') AS hyp FROM {PRED})")
-def joined_pieces(spark, sf_dir):
-    """Words cut into pieces and glued again."""
-    ts = T.tokens(F.regexp_replace("hyp", "[^a-zA-Z ]", ""))
-    pieces = F.transform(ts, lambda t: F.when(F.length(t) > 5, F.concat(F.substring(t, 1, 4), F.lit(" ##"), F.substr(t, F.lit(5)))).otherwise(t))
-    return predictions(spark, sf_dir).select("id", T.join_pieces(F.concat(F.lit("[CLS] "), F.array_join(pieces, " "), F.lit(" [SEP]"))).alias("text"))
+@query()
+def word_pieces(spark, sf_dir):
+    """Corrections cut into the longest pieces of a vocabulary: the word list's entries, its letters, and both as inner pieces."""
+    words = [r.w for r in table(spark, sf_dir, "lexicon").select(F.lower(T.squeeze(F.col("w"))).alias("w")).where("w is not null").distinct().collect()]  # a fixed, small table
+    pieces = {*words, *(c for w in words for c in w)}
+    cut = align.greedy_pieces(frozenset(pieces | {"##" + x for x in pieces}))
+    return predictions(spark, sf_dir).select("id", cut(F.lower("kalimat_koreksi")).alias("pieces"))
+
+
+PIECES = "CASE WHEN length(t) > 5 THEN substr(t, 1, 4) || ' ##' || substr(t, 5) ELSE t END"
 
 
 def _mended(x: str) -> str:
@@ -395,6 +453,24 @@ def _mended(x: str) -> str:
     return x
 
 
+def _generated(x: str) -> str:
+    sp = T.SPACE
+    for a, b in ((f"[{sp}]+([,.!?;:%)\\]}}»”’])", "\\1"), (f"([(\\[{{«“‘])[{sp}]+", "\\1"), (f"[{sp}]+([*''\"-])[{sp}]+", "\\1"), (f"[{sp}]{{2,}}", " "), (f"^[{sp}]+|[{sp}]+$", "")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return x
+
+
+GLUED = f"array_to_string(list_filter({token_list('hyp')}, lambda t: t NOT IN ('[CLS]', '[SEP]')), ' ')"
+
+
+@query(f"SELECT id, {_generated(f'regexp_replace(replace({GLUED}, {chr(39)} ##{chr(39)}, {chr(39) * 2}), {chr(39)}^##{chr(39)}, {chr(39) * 2})')} AS text FROM {PRED}")
+def joined_pieces(spark, sf_dir):
+    """Words cut into pieces and glued again, and the spacing around their marks mended."""
+    ts = T.tokens(F.col("hyp"))
+    pieces = F.transform(ts, lambda t: F.when(F.length(t) > 5, F.concat(F.substring(t, 1, 4), F.lit(" ##"), F.substr(t, F.lit(5)))).otherwise(t))
+    return predictions(spark, sf_dir).select("id", T.join_pieces(F.concat(F.lit("[CLS] "), F.array_join(pieces, " "), F.lit(" [SEP]"))).alias("text"))
+
+
 @query(f"SELECT id, {_mended('kalimat_koreksi')} AS text FROM {PRED}")
 def mended_spacing(spark, sf_dir):
     return predictions(spark, sf_dir).select("id", T.mend_spacing(F.col("kalimat_koreksi")).alias("text"))
@@ -446,6 +522,13 @@ def char_confusion(spark, sf_dir):
     return _channel(spark, sf_dir)[0]
 
 
+@query()
+def channel_insertions(spark, sf_dir):
+    """The forty symbols that are most often put in, and the rate of insertions."""
+    _, insertions, rate = _channel(spark, sf_dir)
+    return align.common_insertions(insertions).join(F.broadcast(rate.select("ins_rate")))  # one row
+
+
 @query()
 def error_prone_chars(spark, sf_dir):
     return align.error_prone(_channel(spark, sf_dir)[0])
@@ -478,20 +561,23 @@ def damage_weights(spark: SparkSession) -> DataFrame:
 @query()
 def synthetic_corpus(spark, sf_dir):
     rules = resources.injection_rules(table(spark, sf_dir, "algospeak_dict"))
-    return synthetic.generated(clean_texts(spark, sf_dir), damage_weights(spark), 500, rules)
+    return synthetic.generated(clean_texts(spark, sf_dir), damage_weights(spark), 10_000, rules)
 
 
 @query()
 def held_out_set(spark, sf_dir):
     rules = resources.injection_rules(table(spark, sf_dir, "algospeak_dict"))
-    return synthetic.held_out(clean_texts(spark, sf_dir), table(spark, sf_dir, "predictions"), "kalimat_koreksi", damage_weights(spark), 300, rules)
+    return synthetic.held_out(clean_texts(spark, sf_dir), table(spark, sf_dir, "predictions"), "kalimat_koreksi", damage_weights(spark), 2500, rules)
 
 
-@query(f"SELECT lower({squeezed('split')}) AS split, CASE WHEN image_id % 3 = 0 THEN 'untagged' ELSE 'semantic' END AS tag, count(*) AS n FROM {META} WHERE src_text IS NOT NULL AND NOT starts_with(src_text, '<') GROUP BY 1, 2")
+@query(f"""WITH r AS (SELECT image_id, lower({squeezed('split')}) AS split, CASE WHEN category = 'ALG' THEN src_text ELSE '<semantic> ' || src_text END AS t FROM {META} WHERE src_text IS NOT NULL),
+g AS (SELECT *, coalesce(nullif(regexp_extract(t, '^<([^>]+)>', 1), ''), 'untagged') AS tag FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY split, tag ORDER BY image_id) AS k FROM g)
+SELECT split, tag, count(*) AS n, list(t ORDER BY k) FILTER (k <= 3) AS samples FROM k GROUP BY 1, 2""")
 def tag_inventory(spark, sf_dir):
-    rows = metadata(spark, sf_dir).where(F.col("src_text").isNotNull() & ~F.col("src_text").startswith("<"))
-    tagged = rows.select("image_id", F.lower(T.squeeze(F.col("split"))).alias("split"), F.when(F.col("image_id") % 3 == 0, F.col("src_text")).otherwise(F.concat(F.lit("<semantic> "), "src_text")).alias("t"))
-    return dataset.tag_inventory(tagged, "split", "t", "image_id").drop("samples")
+    """Texts of one category stay untagged, the others have a tag; three of each by id."""
+    rows = coded(metadata(spark, sf_dir)).where("src_text is not null")
+    tagged = rows.select("image_id", F.lower(T.squeeze(F.col("split"))).alias("split"), F.when(F.col("category") == "ALG", F.col("src_text")).otherwise(F.concat(F.lit("<semantic> "), "src_text")).alias("t"))
+    return dataset.tag_inventory(tagged, "split", "t", "image_id")
 
 
 @query(f"SELECT image_id FROM {META} WHERE lower({squeezed('split')}) IN ('val', 'valid', 'validation')")
@@ -499,10 +585,10 @@ def validation_rows(spark, sf_dir):
     return metadata(spark, sf_dir).where(dataset.in_split(F.col("split"), "val")).select("image_id")
 
 
-@query("SELECT crop_id, teks_ocr, coalesce(p.hyp, o.teks_ocr) AS hyp, p.gec_score AS gec_score FROM (SELECT DISTINCT crop_id, teks_ocr FROM ocr_outputs) o LEFT JOIN (SELECT DISTINCT id, hyp, gec_score FROM predictions WHERE id % 5 <> 0) p ON crop_id = id")
+@query("SELECT crop_id, teks_ocr, coalesce(p.hyp, o.teks_ocr) AS hyp, p.gec_score AS gec_score FROM (SELECT DISTINCT crop_id, teks_ocr FROM ocr_outputs) o LEFT JOIN (SELECT DISTINCT id, hyp, gec_score FROM predictions) p ON crop_id = id")
 def hypotheses_or_source(spark, sf_dir):
-    """OCR rows with their hypothesis; every fifth has none and falls back on its source."""
-    hyps = table(spark, sf_dir, "predictions").where("id % 5 <> 0").select(F.col("id").cast("long").alias("id"), "hyp", "gec_score").distinct()
+    """OCR rows with their hypothesis; those without any fall back on their source."""
+    hyps = table(spark, sf_dir, "predictions").select(F.col("id").cast("long").alias("id"), "hyp", "gec_score").distinct()
     return dataset.with_hypotheses(ocr(spark, sf_dir), "crop_id", "teks_ocr", hyps)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from pathlib import Path
@@ -19,6 +20,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "12g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     spark = SparkSession.builder.master(f"local[{cpus}]").appName("lurus").config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,9 +50,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release() -> None:
+    """Deletes what was staged so far. Frames that rest on it must have been used up; at the end of the driver it is called by itself. Checkpoints are
+    deleted by Spark where spark.cleaner.referenceTracking.cleanCheckpoints is set."""
+    spark = SparkSession.getActiveSession()
+    while _made and spark is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

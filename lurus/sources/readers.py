@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lurus.plans.indexing import row_index
+
 ERROR = "struct<token_salah:string,token_benar:string,category:string>"
 ANNOTATION = f"filename string, primary_category string, sentences array<struct<sentence_id:string,category:string,teks_ocr:string,kalimat_koreksi:string,bbox_normalized:array<double>,errors:array<{ERROR}>>>"
 PREDICTION = "id int, category string, source string, hyp string, kalimat_koreksi string, gec_score double"
@@ -47,9 +49,9 @@ def flattened(records: DataFrame) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value) of one text file: the only place where a row's number in its file counts, so the file's own order is kept by zipWithIndex."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0].value))
-    return spark.createDataFrame(rows, "line_no long, value string")
+    """(line_no, value) of a text file, or of a folder's files by name. A line's place is its file, block and place in the block; ranges of these are numbered."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return row_index(rows, "file", "block", "at", name="line_no").select("line_no", "value")
 
 
 def aligned(spark: SparkSession, src: str, tgt: str) -> DataFrame:

@@ -26,9 +26,9 @@ def test_texts_are_cut_at_128_tokens_alone(spark, fixture_dir):
     words = [f"kata{k}" for k in range(200)]
     text = " ".join(words)
     at = fixture_dir([(1, "EJA", text, " ".join(words[:40]), text, 0.0), (2, "EJA", text, text, text, 0.0)])
-    assert {r.id: len(r.ids) for r in QUERIES["encoded_whole"](spark, at).collect()} == {1: 42, 2: 128}
-    assert {r.id: r.text for r in QUERIES["decoded_whole"](spark, at).collect()} == {1: " ".join(words[:40]), 2: " ".join(words[:126])}
-    assert {r.id: (len(r.padded), sum(r.mask)) for r in QUERIES["padded_batches_whole"](spark, at).collect()} == {1: (128, 42), 2: (128, 128)}
+    assert {r.id: len(r.ids) for r in QUERIES["encoded"](spark, at).collect()} == {1: 42, 2: 128}
+    assert {r.id: r.text for r in QUERIES["decoded"](spark, at).collect()} == {1: " ".join(words[:40]), 2: " ".join(words[:126])}
+    assert {r.id: (len(r.padded), sum(r.mask)) for r in QUERIES["padded_batches"](spark, at).collect()} == {1: (128, 42), 2: (128, 128)}
 
 
 def resampled(values, b):
@@ -43,16 +43,16 @@ def test_replicates_are_as_many_as_the_reference_draws(spark, fixture_dir, monke
     at = fixture_dir([(k, "EJA", " ".join(words), " ".join(words[: 7 - k % 3] + ["x"] * (k % 4)), " ".join(words[: 7 - k % 2]), 0.0) for k in range(7)])
     rows = sorted(facts(spark, at).collect(), key=lambda r: r.id)
     rates = sorted(c / n for c, n in resampled([(r.c_hyp, r.r_len) for r in rows], 1000))
-    got = QUERIES["boot_ci_whole"](spark, at).first()
+    got = QUERIES["boot_ci"](spark, at).first()
     assert (got.lo, got.hi) == (round(rates[25], 6), round(rates[974], 6))
     means = sorted(round(s / 7, 9) for (s,) in resampled([(round(r.cer_hyp - r.cer_source, 9),) for r in rows], 5000))
-    got, above = QUERIES["paired_boot_whole"](spark, at).first(), sum(m > 0 for m in means) / 5000
+    got, above = QUERIES["paired_boot"](spark, at).first(), sum(m > 0 for m in means) / 5000
     assert (got.lo, got.hi, got.p) == pytest.approx((means[125], means[4874], 2 * min(above, 1 - above)), abs=2e-6)
     drawn = []
     for name in ("poisson_replicates", "f_interval"):
         f = getattr(resampling, name)
         monkeypatch.setattr(resampling, name, lambda *a, f=f: drawn.append(a[2]) or f(*a))
-    assert QUERIES["boot_ci_poisson"](spark, at).count() == QUERIES["boot_f05_whole"](spark, at).count() == 1
+    assert QUERIES["boot_ci_poisson"](spark, at).count() == QUERIES["boot_f05"](spark, at).count() == 1
     assert drawn == [1000, 1000]
 
 
