@@ -2,7 +2,7 @@
 
 Canonical records are range-partitioned and sorted by (hash, full key, id); one scan of each partition compares full keys of neighbours and gives
 each run its smallest id. A run may cross partition borders (a hot group is cut into several ranges by its ids), so each partition also tells its
-first and last key; these few rows, one a partition, are stitched on the driver.
+first and last key, as a digest of 256 bits; these few rows, one a partition, are stitched on the driver.
 
 Defined results: records with a null, empty or wordless text belong to no group; ids that are null are left out; the smallest id of a group is kept;
 repeated ids count as copies of themselves once each; an empty table gives an empty result; further columns are ignored.
@@ -11,6 +11,7 @@ repeated ids count as copies of themselves once each; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,7 @@ def scan_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs += len(heads)
         kept, last_h, last_key = int(base[run[-1]]), h[-1], keys[n - 1].as_py()
     if first_key is not None:
+        first_key, last_key = (blake2b(k.encode(), digest_size=32).hexdigest() for k in (first_key, last_key))  # keys may be long; the driver sees digests
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, None, None, None, runs, first_key, last_key, kept, head), schema.types)], schema=schema)
 
 

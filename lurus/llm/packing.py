@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurus.operators.resources import small
 from lurus.plans.session import checkpointed
 
 CAPACITY, OPEN, FAN_IN = 2048, 64, 16
@@ -79,6 +80,11 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, open_: int = OPEN) ->
         left = merged.where("fill is not null").select("bin", "fill")
         level += 1
     out = packed.where("fill is null").select("item", "piece", "size", "bin")
-    for move in moves:
-        out = out.join(move, out["bin"] == move["from"], "left").select("item", "piece", "size", F.coalesce("to", "bin").alias("bin"))
-    return out
+    if not moves:
+        return out
+    # a container may be merged again and again: the chain of its moves is closed first, among the few containers that were left open
+    chain = moves[0]
+    for move in moves[1:]:
+        chain = chain.join(move.toDF("to", "next"), "to", "left").select("from", F.coalesce("next", "to").alias("to"))
+    chain = small(checkpointed(chain))
+    return out.join(chain, out["bin"] == chain["from"], "left").select("item", "piece", "size", F.coalesce("to", "bin").alias("bin"))
