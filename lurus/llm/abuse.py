@@ -9,7 +9,7 @@ the windows that score above nearly all ordinary ones; windows that SEVERAL ordi
 threshold is the score of best F1 on labelled documents that the dictionaries never saw, ordinary ones counted ORDINARY times, as labels are given to
 suspicious documents more often than to others.
 
-Words are compared after folding: compatibility forms, look-alike letters, digits and marks used as letters, repeated letters, invisible characters.
+Words are compared after folding: compatibility forms, look-alike letters, digits and marks used as letters, v for u, letters set apart, repeated letters, invisible characters.
 
 The fit uses a bounded sample of labelled rows, MAX_TOXIC and MAX_ORDINARY documents of at most MAX_CHARS characters, chosen by hash; scoring covers all
 documents and whole texts.
@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 import zstandard
@@ -51,9 +52,9 @@ FOLDS = 4
 #: Used where too few labels are left to calibrate.
 THRESHOLD, LEAST_LABELS = 8.0, 8
 
-#: Cyrillic and Greek letters that look like Latin ones, and digits and marks that stand for letters.
+#: Cyrillic and Greek letters that look like Latin ones, and digits, marks and letters that stand for letters.
 LOOK_ALIKE = str.maketrans("аеорсухіјѕԁӏαονρτικ", "aeopcyxijsdlaovptik")
-AS_LETTER = str.maketrans("0134578962@$!|", "oieastbggzasil")
+AS_LETTER = str.maketrans("0134578962@$!|v", "oieastbggzasilu")
 INVISIBLE = re.compile("[­​-‏⁠﻿̀-ͯ]")
 SENTENCE_END = re.compile(r"[.!?]+(?=\s|$)|[\r\n]+|[^\w\s.,!?;:'\"()*@$\-/&#“”«»…|]+")
 
@@ -67,12 +68,21 @@ def fold_word(word: str) -> str:
     return "#" if core else ""
 
 
+def spelled(words: list[str]) -> list[str]:
+    """Three or more single letters in a row as the word that they spell."""
+    out: list[str] = []
+    for single, run in groupby(words, lambda w: len(w) == 1 and w != "#"):
+        run = list(run)
+        out += ["".join(run)] if single and len(run) > 2 else run
+    return out
+
+
 def windows(text: str | None) -> list[str]:
     """Windows of WORDS folded words, STEP apart, that do not cross the end of a sentence; each different one once."""
     out: dict[str, None] = {}
     plain = INVISIBLE.sub("", unicodedata.normalize("NFKD", text or "")).lower().translate(LOOK_ALIKE)
     for sentence in SENTENCE_END.split(plain):
-        words = [w for w in map(fold_word, sentence.split()) if w]
+        words = spelled([w for w in map(fold_word, sentence.split()) if w])
         for at in range(0, max(1, len(words) - WORDS + STEP), STEP):
             if words[at : at + WORDS]:
                 out[" ".join(words[at : at + WORDS])] = None

@@ -51,6 +51,11 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split", "origin").agg(F.count("*").alias("records"), F.count_if("exact").alias("exact"), F.count_if(~F.col("exact")).alias("near"), F.avg("fraction").alias("mean_fraction"))
 
 
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each evaluation record found: how many training texts, and records that hold them, it is linked to."""
+    return overlap.links(table(spark, sf_dir, "syn_metadata")).select(F.col("id").alias("image_id"), "near_texts", "near_records")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = collapse.copies(table(spark, sf_dir, "syn_metadata"), "image_id", TEXTS)
     return pairs.select(F.col("kept").alias("kept_image_id"), F.col("copy").alias("copy_image_id"))
@@ -130,4 +135,4 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["QUERIES", "SQL"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_splits, p4_found, p4_terms, p5_found, p5_report, p6_found, p6_collapsed, p7_ids, p7_round_trip, p8_found, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_splits, p4_found, p4_terms, p5_found, p5_report, p5_links, p6_found, p6_collapsed, p7_ids, p7_round_trip, p8_found, p8_containers, p8_report, p9_found, p9_scores, p9_rates)}

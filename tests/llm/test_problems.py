@@ -228,6 +228,12 @@ def test_digests_find_what_the_exhaustive_search_finds(spark, sf_dir):
     assert got.exceptAll(all_).isEmpty() and got.count() >= 0.99 * all_.count()
 
 
+def test_links_of_a_sentence_that_most_records_share(spark):
+    rows = [(i, "Satu kalimat yang ada di mana-mana di semua catatan", None, "train" if i % 2 else "val") for i in range(3000)] + [(9000, "Satu kalimat yang ada di mana-mana di semua catatn", None, "test")]
+    got = {r.id: (r.near_texts, r.near_records) for r in overlap.links(meta(spark, rows)).collect()}
+    assert len(got) == 1501 and set(got.values()) == {(1, 1500)}
+
+
 def test_a_run_that_all_texts_share_brings_few_together():
     rng = random.Random(3)
     words = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
