@@ -54,12 +54,19 @@ def events(true: Column, seen: Column) -> Column:
 
 
 def edit_counts(df: DataFrame, src: str, hyp: str, ref: str, keep: tuple[str, ...] = (), spacing: bool = True) -> DataFrame:
-    """tp, fp, fn of the edits from source to hypothesis against those to the reference, in lower case, summed over rows that are equal in all columns."""
+    """tp, fp, fn of the edits from source to hypothesis against those to the reference, in lower case, row by row."""
     form = lambda c: mend_spacing(F.lower(F.coalesce(F.col(c), F.lit("")))) if spacing else F.lower(F.coalesce(F.col(c), F.lit("")))
-    base = df.groupBy(*keep, form(src).alias("s"), form(hyp).alias("h"), form(ref).alias("r")).agg(F.count("*").alias("times"))  # equal rows are aligned once
-    rows = spread(base).select(*keep, "times", edits(F.col("s"), F.col("h")).alias("got"), edits(F.col("s"), F.col("r")).alias("want"))
-    count = lambda a: F.size(a) * F.col("times")
-    return rows.select(*keep, count(F.array_intersect("got", "want")).alias("tp"), count(F.array_except("got", "want")).alias("fp"), count(F.array_except("want", "got")).alias("fn"))
+    base = df.select(*keep, form(src).alias("s"), form(hyp).alias("h"), form(ref).alias("r"))
+    rows = spread(base).select(*keep, edits(F.col("s"), F.col("h")).alias("got"), edits(F.col("s"), F.col("r")).alias("want"))
+    both = F.size(F.array_intersect("got", "want"))
+    return rows.select(*keep, both.alias("tp"), F.size(F.array_except("got", "want")).alias("fp"), F.size(F.array_except("want", "got")).alias("fn"))
+
+
+def edit_sums(df: DataFrame, src: str, hyp: str, ref: str, keep: tuple[str, ...] = (), spacing: bool = True) -> DataFrame:
+    """The same summed over rows that are equal in the kept columns and the three texts, each of which is aligned once."""
+    rows = df.groupBy(*keep, src, hyp, ref).agg(F.count("*").alias("times"))
+    counted = edit_counts(rows, src, hyp, ref, (*keep, "times"), spacing)
+    return counted.select(*keep, *((F.col(c) * F.col("times")).alias(c) for c in ("tp", "fp", "fn")))
 
 
 def edit_prf(counts: DataFrame) -> DataFrame:

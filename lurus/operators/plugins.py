@@ -31,6 +31,20 @@ class NoCorrector:
         return [(t, None) for t in texts]
 
 
+class RuleCorrector:
+    """A corrector without a model: tokens that a small table of rules knows are replaced; the score is how many were."""
+
+    def __init__(self, rules: dict[str, str]) -> None:
+        self.rules = rules
+
+    def correct(self, texts: list[str]) -> list[tuple[str, float | None]]:
+        out = []
+        for text in texts:
+            words = text.split()
+            out.append((" ".join(self.rules.get(w, w) for w in words), float(sum(w in self.rules for w in words))))
+        return out
+
+
 def recognise(images: DataFrame, factory: Callable[[], Recogniser] = NoRecogniser) -> DataFrame:
     """(path, ocr_output) of (path, content), as read by binaryFile."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lurus.functions import text as T
 from lurus.operators import align, corrupt, dataset, plugins, quality, resources, sampling, synthetic
-from lurus.plans.evaluation import PRED, ocr, predictions
+from lurus.plans.evaluation import NORM_TEXT, PRED, RUL, ocr, predictions
 from lurus.plans.indexing import row_index
 from lurus.plans.registry import Registry, draw, over, squeezed, token_list
 from lurus.plans.session import checkpointed, scratch, table
@@ -610,7 +610,16 @@ def corrector_default(spark, sf_dir):
     return plugins.correct(predictions(spark, sf_dir), "id", "source").select("id", "source", "hyp")
 
 
-@query()
+@query(f"""WITH {RUL}, t AS (SELECT id, unnest({token_list('source')}) AS t, generate_subscripts({token_list('source')}, 1) AS pos FROM {PRED}),
+c AS (SELECT id, string_agg(coalesce(target, t), ' ' ORDER BY pos) AS x, count(target)::DOUBLE AS n FROM t LEFT JOIN rul ON t = variant GROUP BY 1)
+SELECT id::BIGINT AS id, CASE WHEN source IS NOT NULL THEN coalesce(x, '') END AS hyp, CASE WHEN source IS NOT NULL THEN coalesce(n, 0) END AS gec_score FROM {PRED} LEFT JOIN c USING (id)""")
+def corrected_by_rules(spark, sf_dir):
+    """A corrector made once a task from the rule table, fed Arrow batches."""
+    rules = {r.variant: r.target for r in resources.lookup(table(spark, sf_dir, "algospeak_dict")).collect()}  # a fixed, small table
+    return plugins.correct(predictions(spark, sf_dir), "id", "source", lambda: plugins.RuleCorrector(rules)).select("id", "hyp", "gec_score")
+
+
+@query(NORM_TEXT)
 def streamed_norm(spark, sf_dir):
     """The normaliser over the OCR table as a stream of files."""
     ocr(spark, sf_dir).repartition(2).write.parquet(path := scratch(spark, "incoming"))

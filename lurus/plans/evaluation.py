@@ -117,16 +117,16 @@ RUL = f"""rul AS (SELECT variant, min(target) AS target FROM (SELECT lower({sque
 WHERE length(variant) >= 2 AND NOT contains(variant, ' ') AND target <> '' GROUP BY 1 HAVING count(DISTINCT target) = 1)"""
 
 
-def decide_sql(n: str, lookup: bool = True, leet: bool = True, censor: bool = True) -> str:
-    """CTEs that end in `changes<n>` (low, o, how), from `lows` (low), `lex` and `rul`."""
+def decide_sql(n: str, lookup: bool = True, leet: bool = True, censor: bool = True, lex: str = "lex", rul: str = "rul") -> str:
+    """CTEs that end in `changes<n>` (low, o, how), from `lows` (low) and the tables of words and rules."""
     stars = f"pow(26, length(low) - length(replace(low, '*', '')))" if censor else "1"
     twos = "pow(2, length(low) - length(translate(low, '1v', '')))" if leet else "1"
     signs = "".join(f"WHEN c = '{k}' THEN '{v}' " for k, v in {"4": "a", "@": "a", "3": "e", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "2": "z", "1": "[il]", "!": "i", "v": "[uv]"}.items()) if leet else ""
     star = "WHEN c = '*' THEN '[a-z]' " if censor else ""
-    return f"""known{n} AS (SELECT low, lex.w IS NOT NULL AS valid, target FROM (SELECT DISTINCT low FROM lows WHERE regexp_matches(low, '\\p{{L}}')) LEFT JOIN lex ON low = lex.w LEFT JOIN rul ON low = variant),
+    return f"""known{n} AS (SELECT low, w IS NOT NULL AS valid, target FROM (SELECT DISTINCT low FROM lows WHERE regexp_matches(low, '\\p{{L}}')) LEFT JOIN {lex} ON low = w LEFT JOIN {rul} ON low = variant),
 rest{n} AS (SELECT low FROM known{n} WHERE (target IS NULL OR valid OR NOT {lookup}) AND (regexp_matches(low, '[4@305$78921!*]') OR (NOT valid AND contains(low, 'v'))) AND {twos} * {stars} <= 4000),
 pat{n} AS (SELECT low, array_to_string(list_transform(string_split(low, ''), lambda c: CASE {signs}{star}WHEN regexp_matches(c, '\\p{{L}}') THEN c ELSE '#' END), '') AS pat FROM rest{n}),
-hits{n} AS (SELECT low, w, f, list_transform(range(1, length(w) + 1), lambda i: CASE WHEN low[i] = 'v' AND w[i] = 'v' THEN 'a' WHEN low[i] = 'v' AND w[i] = 'u' THEN 'b' ELSE w[i] END) AS o FROM pat{n} JOIN lex ON length(low) = length(w) AND regexp_full_match(w, pat)),
+hits{n} AS (SELECT low, w, f, list_transform(range(1, length(w) + 1), lambda i: CASE WHEN low[i] = 'v' AND w[i] = 'v' THEN 'a' WHEN low[i] = 'v' AND w[i] = 'u' THEN 'b' ELSE w[i] END) AS o FROM pat{n} JOIN {lex} ON length(low) = length(w) AND regexp_full_match(w, pat)),
 best{n} AS (SELECT low, (list(w ORDER BY f DESC, o))[1] AS o FROM hits{n} GROUP BY 1),
 changes{n} AS (SELECT low, target AS o, 'lookup' AS how FROM known{n} WHERE target IS NOT NULL AND NOT valid AND {lookup} UNION ALL SELECT low, o, 'decoded' FROM best{n} WHERE o <> low)"""
 
@@ -146,8 +146,11 @@ def words_and_rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return resources.lexicon(table(spark, sf_dir, "lexicon")), resources.lookup(table(spark, sf_dir, "algospeak_dict"))
 
 
-@query(f"""WITH {LEX}, {RUL}, {FLAT}, {decide_sql('')}, joined AS (SELECT crop_id, string_agg(CASE WHEN o IS NULL THEN t ELSE lead || o || trail END, ' ' ORDER BY pos) AS x FROM parts LEFT JOIN changes USING (low) GROUP BY 1)
-SELECT crop_id, CASE WHEN teks_ocr IS NOT NULL THEN coalesce(x, '') END AS normalized FROM base LEFT JOIN joined USING (crop_id)""")
+NORM_TEXT = f"""WITH {LEX}, {RUL}, {FLAT}, {decide_sql('')}, joined AS (SELECT crop_id, string_agg(CASE WHEN o IS NULL THEN t ELSE lead || o || trail END, ' ' ORDER BY pos) AS x FROM parts LEFT JOIN changes USING (low) GROUP BY 1)
+SELECT crop_id, CASE WHEN teks_ocr IS NOT NULL THEN coalesce(x, '') END AS normalized FROM base LEFT JOIN joined USING (crop_id)"""
+
+
+@query(NORM_TEXT)
 def norm_text(spark, sf_dir):
     return normalize(ocr(spark, sf_dir), "crop_id", "teks_ocr", *words_and_rules(spark, sf_dir)).withColumnRenamed("id", "crop_id")
 
@@ -223,15 +226,30 @@ def component_ablation(spark, sf_dir):
     return out.select("config", "tp", "fp", "fn", *(r6(c).alias(c) for c in ("p", "r", "f1", "f05")))
 
 
-@query()
+def _curve_sql() -> str:
+    """Each run with its own share of the words or rules, spelled out."""
+    ctes, scores = [], []
+    for exp, all_, key in (("rules", "rul", "variant"), ("lexicon", "lex", "w")):
+        for frac in (0.0, 0.25, 0.5, 0.75, 1.0):
+            for seed in range(5 if 0 < frac < 1 else 1):
+                n = f"_{exp}_{round(100 * frac)}_{seed}"
+                place = f"('0x' || substr(md5(concat_ws('|', '{seed}', {key})), 1, 15))::BIGINT"
+                ctes.append(f"part{n} AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (ORDER BY {place}, {key}) AS k FROM {all_}) WHERE k <= round_even({frac} * (SELECT count(*) FROM {all_}), 0))")
+                ctes.append(decide_sql(n, **{"rul" if exp == "rules" else "lex": f"part{n}"}))
+                counts = prf("count(*) FILTER (gold IS NOT NULL AND x = gold)", "count(*) FILTER (gold IS NULL AND clean AND x <> low)", "count(*) FILTER (gold IS NOT NULL AND x <> gold)").replace(", 6)", ", 15)")
+                scores.append(f"SELECT '{exp}' AS exp, {frac}::DOUBLE AS frac, f05 FROM (SELECT {counts} FROM (SELECT low, gold, clean, coalesce(o, low) AS x FROM scope LEFT JOIN changes{n} USING (low)))")
+    return f"WITH {LEX}, {RUL}, {SCOPE}, {', '.join(ctes)} SELECT exp, frac, round(avg(f05), 6) AS mean_f05, round(stddev_pop(f05), 6) AS sd_f05, count(*) AS runs FROM ({' UNION ALL '.join(scores)}) GROUP BY 1, 2"
+
+
+@query(_curve_sql())
 def coverage_curve(spark, sf_dir):
     words, rules = (checkpointed(x) for x in words_and_rules(spark, sf_dir))
-    return coverage.curve(checkpointed(scope(spark, sf_dir)), words, rules)
+    return coverage.curve(checkpointed(scope(spark, sf_dir)), words, rules).withColumn("mean_f05", r6("mean_f05")).withColumn("sd_f05", r6("sd_f05"))
 
 
 @query()
 def edit_prf(spark, sf_dir):
-    return align.edit_prf(align.edit_counts(predictions(spark, sf_dir), "source", "hyp", "kalimat_koreksi"))
+    return align.edit_prf(align.edit_sums(predictions(spark, sf_dir), "source", "hyp", "kalimat_koreksi"))
 
 
 # Resampling and tests
@@ -257,11 +275,16 @@ def paired_boot(spark, sf_dir, b=PAIRED):
     return resampling.paired_bootstrap(rows, "id", "diff", b).select("n", *(r6(c).alias(c) for c in ("mean_diff", "lo", "hi", "p")))
 
 
-@query()
+_U = f"({draw('42', 'rep', 'id')}) / 4294967296.0"
+_WEIGHT = " + ".join(f"(u > {p})::INT" for p in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676))
+
+
+@query(f"""WITH {FACTS}, d AS (SELECT rep, c_hyp, r_len, {_U} AS u FROM f, range(1000) r(rep)), reps AS (SELECT rep, sum(c_hyp * ({_WEIGHT}))::DOUBLE / sum(r_len * ({_WEIGHT})) AS x FROM d GROUP BY 1), v AS (SELECT list(x ORDER BY x) AS v FROM reps)
+SELECT round(v[1 + floor(0.025 * len(v))::INT], 6) AS lo, round(v[floor(0.975 * len(v))::INT], 6) AS hi FROM v""")
 def boot_ci_poisson(spark, sf_dir):
     reps = resampling.poisson_replicates(facts(spark, sf_dir).select("id", "c_hyp", "r_len"), "id", 1000, 42, "c_hyp", "r_len")
     lo, hi = resampling.interval(F.col("v"))
-    return reps.agg(F.sort_array(F.collect_list(ratio(F.col("c_hyp").cast("double"), F.col("r_len").cast("double")))).alias("v")).select(lo.alias("lo"), hi.alias("hi"))
+    return reps.agg(F.sort_array(F.collect_list(ratio(F.col("c_hyp").cast("double"), F.col("r_len").cast("double")))).alias("v")).select(r6(lo).alias("lo"), r6(hi).alias("hi"))
 
 
 @query(f"""WITH t AS (SELECT id, {token_list('source')} AS s, {token_list('hyp')} AS h, {token_list('kalimat_koreksi')} AS r FROM {PRED}), k AS (SELECT id, {KIND} AS k FROM t),
@@ -290,10 +313,12 @@ def scope_tokens_report(spark, sf_dir):
     return scoring.scope_report(s, decide(s.select("low"), *words_and_rules(spark, sf_dir))).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+@query(f"""WITH {SCOPE} SELECT {prf('count(*) FILTER (gold IS NOT NULL AND x = gold)', 'count(*) FILTER (gold IS NULL AND clean AND x <> low)', 'count(*) FILTER (gold IS NOT NULL AND x <> gold)')}
+FROM (SELECT *, translate(low, '430', 'aeo') AS x FROM scope)""")
 def token_function(spark, sf_dir):
     """A Python function of a token, scored like the normaliser."""
-    return scoring.token_function_counts(scope(spark, sf_dir), lambda t: t.replace("4", "a").replace("3", "e").replace("0", "o"))
+    out = scoring.token_function_counts(scope(spark, sf_dir), lambda t: t.replace("4", "a").replace("3", "e").replace("0", "o"))
+    return out.select("tp", "fp", "fn", *(r6(c).alias(c) for c in ("p", "r", "f1", "f05")))
 
 
 @query(f"WITH {FACTS} SELECT round(avg(cer_hyp), 6) AS hyp, round(avg(cer_source), 6) AS source, round(avg(CASE WHEN score >= -3.0 THEN cer_hyp ELSE cer_source END), 6) AS gated, round(avg(least(cer_hyp, cer_source)), 6) AS best FROM f")

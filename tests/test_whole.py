@@ -1,10 +1,13 @@
-"""Queries that do the whole of what the queries with SQL do in part, on small fixtures."""
+"""Queries against plain Python, on small fixtures and small whole tables."""
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from lurus.operators import resampling
 from lurus.plans.evaluation import facts
@@ -59,3 +62,98 @@ def test_replicates_are_as_many_as_the_reference_draws(spark, fixture_dir, monke
 def test_curve_has_the_reference_s_points(spark, sf_dir):
     rows = QUERIES["coverage_curve"](spark, sf_dir).collect()
     assert {(r.exp, r.frac, r.runs) for r in rows} == {(e, f, 5 if 0 < f < 1 else 1) for e in ("rules", "lexicon") for f in (0, 0.25, 0.5, 0.75, 1)}
+
+
+# Queries that SQL cannot express, against plain Python over whole small tables.
+
+
+def distinct_rows(spark, sf_dir, name, *columns):
+    return [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns).distinct().collect()]
+
+
+def test_edit_scores_against_plain_python(spark, sf_dir):
+    from lurus.functions.text import mend_spacing
+
+    rows = spark.read.parquet(f"{sf_dir}/predictions.parquet").select("id", "category", "source", "hyp", "kalimat_koreksi", "gec_score").distinct()
+    rows = rows.select(*(mend_spacing(F.lower(F.coalesce(c, F.lit("")))).alias(c) for c in ("source", "hyp", "kalimat_koreksi"))).collect()
+
+    def edits(a, b):
+        a, b = a.split(), b.split()
+        return {(i, j, " ".join(a[i:j]), " ".join(b[k:m])) for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind != "equal"}
+
+    both = [(edits(s, h), edits(s, r)) for s, h, r in rows]
+    want = tuple(sum(len(x) for x in part) for part in ([g & w for g, w in both], [g - w for g, w in both], [w - g for g, w in both]))
+    got = QUERIES["edit_prf"](spark, sf_dir).first()
+    assert (got.tp, got.fp, got.fn) == want
+
+
+def test_channel_against_plain_python(spark, sf_dir):
+    counts, inserted, letters = Counter(), Counter(), 0
+    for a, b in distinct_rows(spark, sf_dir, "ocr_outputs", "teks_ocr", "paddleocr_out"):
+        if a is None or b is None:
+            continue
+        letters += max(len(a), 1)
+        for kind, i, j, k, m in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+            if kind == "equal":
+                counts.update((x, "=" + x) for x in a[i:j])
+            else:
+                n = min(j - i, m - k)
+                counts.update((a[i + x], "=" + b[k + x]) for x in range(n))
+                counts.update((x, "DEL") for x in a[i + n : j])
+                inserted.update(b[k + n : m])
+    assert {(r.ch, r.outcome): r.n for r in QUERIES["char_confusion"](spark, sf_dir).collect()} == counts
+    got = QUERIES["channel_insertions"](spark, sf_dir).collect()
+    assert [(r.ch, r.n) for r in got] == sorted(inserted.items(), key=lambda x: (-x[1], x[0]))[:40]
+    assert got[0].ins_rate == pytest.approx(sum(inserted.values()) / letters)
+
+
+def test_word_pieces_against_plain_python(spark, sf_dir):
+    words = {" ".join(w.split()).lower() for (w,) in distinct_rows(spark, sf_dir, "lexicon", "w") if w is not None}
+    pieces = words | {c for w in words for c in w}
+
+    def cut(word):
+        out = []
+        while word:
+            piece = next((word[:n] for n in range(len(word), 0, -1) if word[:n] in pieces), None)
+            if piece is None:
+                return ["[UNK]"]
+            out.append(piece if not out else "##" + piece)
+            word = word[len(piece) :]
+        return out
+
+    texts = {i: t for i, t in distinct_rows(spark, sf_dir, "predictions", "id", "kalimat_koreksi")}
+    got = {r.id: r.pieces for r in QUERIES["word_pieces"](spark, sf_dir).collect()}
+    assert {i: p for i, p in got.items() if texts[i] is not None} == {i: " ".join(p for w in t.lower().split() for p in cut(w)) for i, t in texts.items() if t is not None}
+
+
+def test_corpora_keep_to_their_budgets(spark, sf_dir):
+    made = QUERIES["synthetic_corpus"](spark, sf_dir).collect()
+    assert made and all(r.src != r.trg for r in made) and len(made) <= 10_000
+    used = {" ".join(t.lower().split()) for (t,) in distinct_rows(spark, sf_dir, "predictions", "kalimat_koreksi") if t is not None}
+    fresh = QUERIES["held_out_set"](spark, sf_dir).collect()
+    keys = [" ".join(r.trg.lower().split()) for r in fresh]
+    assert fresh and not used & set(keys) and len(keys) == len(set(keys)) and len(fresh) <= 2500
+
+
+def test_reports_refuse_what_they_would_cut(spark):
+    from lurus.sources import sinks
+
+    df = spark.range(12).select(F.col("id"), (F.col("id") / 12).alias("share"))
+    assert sinks.report(df, "t").count("\n") == 14 and sinks.latex(df).count("&") == 12
+    for f in (lambda: sinks.report(df, "t", most=11), lambda: sinks.latex(df, most=11)):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
+    from lurus.operators import resources
+
+    df = spark.createDataFrame([("x" * 1000,)] * 100, "t string").repartition(2).selectExpr("t", "monotonically_increasing_id() as i")
+    hinted = lambda x: "ResolvedHint" in x._jdf.queryExecution().analyzed().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert hinted(resources.small(df))
+        monkeypatch.setattr(resources, "BROADCAST_BYTES", 50_000)
+        assert not hinted(resources.small(df))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
