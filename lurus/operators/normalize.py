@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurus.functions.text import has_letter, punct_parts, tokens
+from lurus.plans.session import checkpointed
 
 #: What a sign may stand for, in order of preference.
 OPTIONS = {"4": "a", "@": "a", "3": "e", "0": "o", "5": "s", "$": "s", "7": "t", "8": "b", "9": "g", "2": "z", "1": "il", "!": "i", "v": "vu"}
@@ -59,27 +60,26 @@ def decide_all(cores: DataFrame, words: DataFrame, rules: DataFrame, *by: str) -
     """(*by, low, out, how) of (*by, low, lookup, leet, censor, words_of, rules_of): the cores that change in each of several runs, what to, and by which
     part. A run is a value of the columns `by`; its rows say which parts are on, and by `words_of` and `rules_of` which words (words_of, w, f) and rules
     (rules_of, variant, target) it has. Any number of runs is one plan, in which words and rules stand once."""
-    on = [*by, "low"]
     low = cores.where(has_letter(F.col("low"))).distinct()
     known = low.join(words.select("words_of", F.col("w").alias("low"), F.lit(True).alias("valid")), ["words_of", "low"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
     known = known.join(rules.select("rules_of", F.col("variant").alias("low"), "target"), ["rules_of", "low"], "left")
-    ruled = F.col("target").isNotNull() & ~F.col("valid") & F.col("lookup")
-    looked = known.where(ruled).select(*on, F.col("target").alias("out"), F.lit("lookup").alias("how"))
+    known = known.withColumn("ruled", F.col("target").isNotNull() & ~F.col("valid") & F.col("lookup"))
     signs = F.col("low").rlike(f"[{LEET.replace('$', chr(92) + '$')}*]")
-    rest = known.where(~ruled & (signs | (~F.col("valid") & F.contains(F.col("low"), F.lit("v")))))
-    rest = rest.where(spellings(F.col("low"), F.col("leet"), F.col("censor")) <= MOST)
-    filled = rest.select(*on, "words_of", "leet", "censor", F.col("low").alias("form"))
-    star = F.col("censor") & F.contains(F.col("form"), F.lit("*"))
+    open_ = (signs | (~F.col("valid") & F.contains(F.col("low"), F.lit("v")))) & (spellings(F.col("low"), F.col("leet"), F.col("censor")) <= MOST)
+    known = known.where(F.col("ruled") | open_)
     letters = F.filter(F.split(F.lit(STAR), ""), lambda c: c != "")
-    one = F.transform(letters, lambda c: F.regexp_replace(F.col("form"), r"^([^*]*)\*", F.concat(F.lit("$1"), c)))
-    for _ in range(2):  # within the bound there are two stars at most
-        filled = filled.withColumn("form", F.explode(F.when(star, one).otherwise(F.array("form"))))
-    forms = filled.where(~F.contains(F.col("form"), F.lit("*"))).withColumn("k", F.when(F.col("leet"), skeleton(F.col("form"))).otherwise(F.col("form")))
+    star = lambda f: F.col("censor") & F.contains(f, F.lit("*"))
+    one = lambda f: F.when(star(f), F.transform(letters, lambda c: F.regexp_replace(f, r"^([^*]*)\*", F.concat(F.lit("$1"), c)))).otherwise(F.array(f))
+    filled = F.flatten(F.transform(one(F.col("low")), one))  # within the bound there are two stars at most
+    forms = F.when(~F.col("ruled"), F.filter(filled, lambda f: ~F.contains(f, F.lit("*"))))
+    tried = known.select(*by, "low", "ruled", "target", "words_of", "leet", F.explode_outer(forms).alias("form")).withColumn("k", F.when(F.col("leet"), skeleton(F.col("form"))).otherwise(F.col("form")))
     keyed = words.select("words_of", "w", "f", F.explode(F.array(F.struct(F.lit(True).alias("leet"), skeleton(F.col("w")).alias("k")), F.struct(F.lit(False).alias("leet"), F.col("w").alias("k")))).alias("x")).select("words_of", "w", "f", "x.*")
-    hits = forms.join(keyed, ["words_of", "leet", "k"])
-    hits = hits.where((F.length("form") == F.length("w")) & F.when(F.col("leet"), _fits(F.col("form"), F.col("w"))).otherwise(F.col("form") == F.col("w")))
-    best = hits.groupBy(*on).agg(F.min_by("w", F.struct(-F.col("f"), _order(F.col("low"), F.col("w")))).alias("out"))
-    return looked.union(best.where("out <> low").select(*on, "out", F.lit("decoded").alias("how")))
+    hits = tried.join(keyed, ["words_of", "leet", "k"], "left")
+    fit = (F.length("form") == F.length("w")) & F.when(F.col("leet"), _fits(F.col("form"), F.col("w"))).otherwise(F.col("form") == F.col("w"))
+    ranked = F.when(fit, F.struct((-F.col("f")).alias("f"), _order(F.col("low"), F.col("w")).alias("o"), F.col("w").alias("w")))
+    best = hits.groupBy(*by, "low", "ruled", "target").agg(F.min(ranked).alias("best"))
+    out = F.when(F.col("ruled"), F.col("target")).otherwise(F.col("best")["w"])
+    return best.select(*by, "low", out.alias("out"), F.when(F.col("ruled"), "lookup").otherwise("decoded").alias("how")).where(F.col("out").isNotNull() & ((F.col("how") == "lookup") | (F.col("out") != F.col("low"))))
 
 
 def decide(cores: DataFrame, words: DataFrame, rules: DataFrame, parts: Parts = Parts()) -> DataFrame:
@@ -91,8 +91,8 @@ def decide(cores: DataFrame, words: DataFrame, rules: DataFrame, parts: Parts =
 def normalize(df: DataFrame, id_col: str, text_col: str, words: DataFrame, rules: DataFrame, parts: Parts = Parts()) -> DataFrame:
     """(id, normalized) for unique ids. Tokens are joined by single blanks; null texts stay null.
 
-    Texts are put together again from their changed tokens alone: unchanged texts never enter the second shuffle. It is one plan without an action of its
-    own; what is joined by broadcast the planner decides by size.
+    Texts are put together again from their changed tokens alone: unchanged texts never enter the second shuffle. What is joined by broadcast the planner
+    decides by size.
     """
     base = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts"), F.col(text_col).isNull().alias("none"))
     renewed = changed_tokens(base.select(F.explode("ts").alias("t")), words, rules, parts)
@@ -103,7 +103,8 @@ def normalize(df: DataFrame, id_col: str, text_col: str, words: DataFrame, rules
 
 
 def changed_tokens(occurrences: DataFrame, words: DataFrame, rules: DataFrame, parts: Parts = Parts()) -> DataFrame:
-    """(t, renewed) of (t): the distinct tokens that change. Only distinct tokens are taken apart."""
+    """(t, renewed) of (t): the distinct tokens that change. Only distinct tokens are taken apart, and once: they are written down, as two branches read them."""
     lead, middle, trail = punct_parts(F.col("t"))
     distinct = occurrences.distinct().where(has_letter(F.col("t"))).select("t", lead.alias("lead"), F.lower(middle).alias("low"), trail.alias("trail"))
+    distinct = checkpointed(distinct)
     return distinct.join(decide(distinct.select("low"), words, rules, parts), "low").select("t", F.concat("lead", "out", "trail").alias("renewed"))

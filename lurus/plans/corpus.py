@@ -612,7 +612,7 @@ def corrector_default(spark, sf_dir):
 
 @query(f"""WITH {RUL}, t AS (SELECT id, unnest({token_list('source')}) AS t, generate_subscripts({token_list('source')}, 1) AS pos FROM {PRED}),
 c AS (SELECT id, string_agg(coalesce(target, t), ' ' ORDER BY pos) AS x, count(target)::DOUBLE AS n FROM t LEFT JOIN rul ON t = variant GROUP BY 1)
-SELECT id::BIGINT AS id, CASE WHEN source IS NOT NULL THEN coalesce(x, '') END AS hyp, CASE WHEN source IS NOT NULL THEN coalesce(n, 0) END AS gec_score FROM {PRED} LEFT JOIN c USING (id)""")
+SELECT id::BIGINT AS id, CASE WHEN source IS NOT NULL THEN coalesce(x, '') END AS hyp, coalesce(n, 0) AS gec_score FROM {PRED} LEFT JOIN c USING (id)""")
 def corrected_by_rules(spark, sf_dir):
     """A corrector made once a task from the rule table, fed Arrow batches."""
     rules = {r.variant: r.target for r in resources.lookup(table(spark, sf_dir, "algospeak_dict")).collect()}  # a fixed, small table
