@@ -93,14 +93,16 @@ def char_edits(hyp: Column, ref: Column) -> Column:
 
 
 def word_edits(hyp: Column, ref: Column) -> Column:
-    """Edit distance over words: each distinct word of the two becomes one code point, then the built-in distance applies. Up to 10**6 words."""
+    """Edit distance over words: each distinct word of the two becomes one code point, then the built-in distance applies. Two texts
+    of more than 10**6 different words are refused, as there are no more code points."""
     a, b = tokens(hyp), tokens(ref)
     vocabulary = F.array_distinct(F.concat(a, b))
 
     def packed(words: Column, known: Column) -> Column:
         return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.lit(65536) + F.array_position(known, w)), 8, "0")), "UTF-32")), "")
 
-    return F.element_at(F.transform(F.array(vocabulary), lambda v: F.levenshtein(packed(a, v), packed(b, v))), 1)
+    distance = lambda v: F.when(F.size(v) > 10**6, F.raise_error(F.lit("more than 10**6 different words")).cast("int")).otherwise(F.levenshtein(packed(a, v), packed(b, v)))
+    return F.element_at(F.transform(F.array(vocabulary), distance), 1)
 
 
 def rate(edits: Column, length: Column, hyp: Column, empty: str = "one") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,12 +101,19 @@ def scan_word_list(spark, sf_dir):
     return readers.word_frequencies(spark, path)
 
 
-@query("SELECT DISTINCT 'abbreviations' AS section, formal, variant FROM algospeak_dict WHERE formal IS NOT NULL AND variant IS NOT NULL")
+@query(f"SELECT DISTINCT CASE WHEN section IN {readers.SECTIONS} THEN section ELSE 'combined_rules' END AS section, formal, variant FROM algospeak_dict WHERE formal IS NOT NULL AND variant IS NOT NULL")
 def scan_rules(spark, sf_dir):
-    """Rules through the dictionary's JSON form."""
-    rows = table(spark, sf_dir, "algospeak_dict").where("formal is not null and variant is not null").groupBy("formal").agg(F.sort_array(F.collect_set("variant")).alias("v"))
-    text = rows.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("formal", "v"))).alias("abbreviations")))).first()[0]  # a fixed, small table
-    return readers.rules(spark, text)
+    """Rules through the dictionary's JSON form: sections that map a word to one or to several variants, and a list of rules for all others."""
+    rows = table(spark, sf_dir, "algospeak_dict").where("formal is not null and variant is not null").select("section", "formal", "variant").distinct().orderBy("section", "formal", "variant").collect()  # a fixed, small table
+    document: dict = {"combined_rules": []}
+    for r in rows:
+        if r.section in readers.SECTIONS:
+            document.setdefault(r.section, {}).setdefault(r.formal, []).append(r.variant)
+        else:
+            document["combined_rules"].append({"from": r.formal, "to": r.variant})
+    for section in readers.SECTIONS:
+        document[section] = {k: v if len(v) > 1 else v[0] for k, v in document.get(section, {}).items()}
+    return readers.rules(spark, json.dumps(document)).distinct()
 
 
 @query(f"SELECT id, round(coalesce(gec_score, -99.0), 6) AS score, regexp_replace(coalesce(hyp, ''), '[\\t\\r\\n]+', ' ', 'g') AS text FROM {PRED}")

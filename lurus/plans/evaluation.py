@@ -155,18 +155,31 @@ def norm_text(spark, sf_dir):
     return normalize(ocr(spark, sf_dir), "crop_id", "teks_ocr", *words_and_rules(spark, sf_dir)).withColumnRenamed("id", "crop_id")
 
 
-@query(f"""WITH {LEX}, {RUL}, {FLAT}, {decide_sql('')}, joined AS (SELECT crop_id, string_agg(CASE WHEN o IS NULL THEN t ELSE lead || o || trail END, ' ' ORDER BY pos) AS x FROM parts LEFT JOIN changes USING (low) GROUP BY 1),
+NORM_CER = f"""WITH {LEX}, {RUL}, {FLAT}, {decide_sql('')}, joined AS (SELECT crop_id, string_agg(CASE WHEN o IS NULL THEN t ELSE lead || o || trail END, ' ' ORDER BY pos) AS x FROM parts LEFT JOIN changes USING (low) GROUP BY 1),
 g AS (SELECT {GROUP} AS category, {nopunct('teks_ocr')} AS s, {nopunct('x')} AS h, {nopunct('kalimat_koreksi')} AS r FROM (SELECT DISTINCT crop_id, category, teks_ocr, kalimat_koreksi FROM ocr_outputs) LEFT JOIN joined USING (crop_id))
-SELECT {TOTAL}, count(*) AS n, round({over('sum(levenshtein(s, r))', 'sum(length(r))')}, 6) AS cer_before, round({over('sum(levenshtein(h, r))', 'sum(length(r))')}, 6) AS cer_after FROM g {SETS}""")
-def norm_cer(spark, sf_dir):
-    """The flagship: how far normalisation brings recognised text towards its correction, by category and in all."""
-    rows = table(spark, sf_dir, "ocr_outputs").select("crop_id", "category", "teks_ocr", "kalimat_koreksi").distinct()
-    mended = normalize(rows, "crop_id", "teks_ocr", *words_and_rules(spark, sf_dir)).withColumnRenamed("id", "crop_id")
+SELECT {TOTAL}, count(*) AS n, round({over('sum(levenshtein(s, r))', 'sum(length(r))')}, 6) AS cer_before, round({over('sum(levenshtein(h, r))', 'sum(length(r))')}, 6) AS cer_after FROM g {SETS}"""
+
+
+def norm_rates(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    rows = table(spark, sf_dir, "ocr_outputs").select("crop_id", "category", source, "kalimat_koreksi").distinct()
+    mended = normalize(rows.select("crop_id", source).distinct(), "crop_id", source, *words_and_rules(spark, sf_dir)).withColumnRenamed("id", "crop_id")
     joined = rows.join(mended, "crop_id", "left").withColumn("category", F.coalesce(F.upper(T.squeeze(F.col("category"))), F.lit("?")))
-    facts_ = scoring.facts(joined, {"before": "teks_ocr", "after": "normalized"}, "kalimat_koreksi", "lower_nopunct", ("category",))
+    facts_ = scoring.facts(joined, {"before": source, "after": "normalized"}, "kalimat_koreksi", "lower_nopunct", ("category",))
     return by_category(facts_, F.count("*").alias("n"), r6(scoring.micro("c_before", "r_len")).alias("cer_before"), r6(scoring.micro("c_after", "r_len")).alias("cer_after"))
 
 
+@query(NORM_CER)
+def norm_cer(spark, sf_dir):
+    """The flagship: how far normalisation brings recognised text towards its correction, by category and in all."""
+    return norm_rates(spark, sf_dir, "teks_ocr")
+
+
+@query(NORM_CER.replace("teks_ocr", "paddleocr_out"))
+def norm_cer_alternative(spark, sf_dir):
+    """The same of the other recogniser's text."""
+    return norm_rates(spark, sf_dir, "paddleocr_out")
+
+
 @query(f"WITH {LEX}, {RUL}, {FLAT}, {decide_sql('')} SELECT low, o AS decided, how FROM changes")
 def norm_changes(spark, sf_dir):
     low = ocr(spark, sf_dir).select(F.explode(T.tokens(F.col("teks_ocr"))).alias("t")).select(F.lower(T.punct_parts(F.col("t"))[1]).alias("low"))

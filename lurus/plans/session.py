@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -56,7 +57,7 @@ _made: list[str] = []
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     if not _made:
-        atexit.register(release)
+        atexit.register(_release_at_exit)
     _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
     return _made[-1]
 
@@ -70,6 +71,11 @@ def release() -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _release_at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already, and its folders with it
+        release()
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as compressed parquet to the shared folder and read it back: smaller than a checkpoint, and column-pruned by later readers."""
     spark = df.sparkSession
