@@ -157,3 +157,99 @@ def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
         assert not hinted(resources.small(df))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def digest(*parts):
+    return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+
+
+def four(*parts):
+    return [int(digest(*parts)[8 * k : 8 * k + 8], 16) / 2**32 for k in range(4)]
+
+
+def plainly_damaged(word, mode, *seed):
+    from lurus.operators import corrupt
+
+    head = next((k for k, c in enumerate(word) if c.isalpha()), len(word))
+    end = max((k + 1 for k, c in enumerate(word) if c.isalpha()), default=head)
+    core, (a, b, c, _) = word[head:end], four(*seed)
+    low, n = core.lower(), end - head
+    if n < 3:
+        return word
+    op = corrupt.MODES[mode][int(a * len(corrupt.MODES[mode]))]
+
+    def letter(at, choices):
+        if not choices:
+            return core
+        new = choices[int(c * len(choices))]
+        return core[:at] + (new.upper() if core[at].upper() == core[at] else new) + core[at + 1 :]
+
+    def replaced(pairs):
+        fit = [p for p in pairs if p[0] in low]
+        if not fit:
+            return core
+        x, y = fit[int(c * len(fit))]
+        new = low.replace(x, y, 1)
+        return new if core[0] == low[0] else new[:1].upper() + new[1:]
+
+    any_, vowels = int(b * n), [k for k in range(n) if low[k] in "aeiou"]
+    if op == "adjacent":
+        core = letter(any_, corrupt.BESIDE.get(low[any_], ""))
+    elif op == "double":
+        core = core[: any_ + 1] + core[any_:]
+    elif op == "swap":
+        k = int(b * (n - 1))
+        core = core[:k] + core[k + 1] + core[k] + core[k + 2 :]
+    elif op == "omit":
+        k = 1 + int(b * (n - 2))
+        core = core[:k] + core[k + 1 :]
+    elif op == "vowel" and vowels:
+        k = vowels[int(b * len(vowels))]
+        core = letter(k, "aeiou".replace(low[k], ""))
+    elif op in ("shape", "pattern"):
+        core = replaced(corrupt.SHAPES if op == "shape" else corrupt.PATTERNS)
+    return word[:head] + core + word[end:]
+
+
+@pytest.mark.parametrize("name, mode", [("inject_spelling", "spelling"), ("inject_typing", "typographic")])
+def test_damage_against_plain_python(spark, sf_dir, name, mode):
+    want = {}
+    for i, text in distinct_rows(spark, sf_dir, "syn_metadata", "image_id", "trg_text"):
+        words = (text or "").split()
+        most = 1 + int(digest(42, i, "n")[:8], 16) % min(3, max(1, len(words) // 5))
+        chosen = [k for _, k in sorted((int(digest(42, i, k, "w")[:8], 16), k) for k, w in enumerate(words) if len(w) >= 4)][:most]
+        want[i] = " ".join(plainly_damaged(w, mode, 42, i, k) if k in chosen else w for k, w in enumerate(words)) if len(words) >= 2 and chosen else text
+    got = {r.id: r.damaged for r in QUERIES[name](spark, sf_dir).collect()}
+    assert [(i, want[i], got[i]) for i in want if want[i] != got[i]] == []
+
+
+def test_noise_against_plain_python(spark, sf_dir):
+    def steps(rows):
+        total, so_far, out = sum(n for _, n in rows), 0, []
+        for x, n in sorted(rows, key=lambda r: (-r[1], r[0])):
+            so_far += n
+            out.append((so_far / total, x))
+        return out
+
+    channel, inserted = {}, []
+    from lurus.plans import corpus
+
+    counts, insertions, rate = corpus._channel(spark, sf_dir)
+    for r in counts.collect():
+        channel.setdefault(r.ch, []).append((r.outcome, r.n))
+    channel, inserted, rate = {c: steps(v) for c, v in channel.items()}, steps([(r.ch, r.n) for r in insertions.collect()]), rate.first().ins_rate
+    drawn = lambda s, u: next((x for hi, x in s if hi > u), None)
+
+    def one(ch, i, at):
+        if ch == " ":
+            return ch
+        a, b, c, d = four(13, i, at)
+        o = drawn(channel.get(ch, []), a)
+        if o == "DEL":
+            return ""
+        return (o[1:] if o else ch) + ((drawn(inserted, d) or "") if c < rate else "")
+
+    texts = {i: t for i, t in distinct_rows(spark, sf_dir, "predictions", "id", "kalimat_koreksi")}
+    got = {r.id: r.damaged for r in QUERIES["noisy_text"](spark, sf_dir).collect()}
+    want = {i: "".join(one(ch, i, at) for at, ch in enumerate(t)) for i, t in texts.items() if t is not None}
+    assert [(i, want[i], got[i]) for i in want if want[i] != got[i]][:3] == []
