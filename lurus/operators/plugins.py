@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurus.plans.session import importable
+
 
 class Recogniser(Protocol):
     def predict(self, image: bytes) -> str: ...
@@ -53,6 +55,7 @@ def recognise(images: DataFrame, factory: Callable[[], Recogniser] = NoRecognise
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "ocr_output": [engine.predict(x) if x is not None else None for x in b["content"]]})
 
+    importable(images.sparkSession)
     return images.select("path", "content").mapInPandas(run, "path string, ocr_output string")
 
 
@@ -65,6 +68,7 @@ def correct(df: DataFrame, id_col: str, text: str, factory: Callable[[], Correct
             got = engine.correct(["" if t is None else t for t in b["source"]])
             yield b.assign(hyp=[s if s is None or h is None else h for (h, _), s in zip(got, b["source"])], gec_score=[None if s is None else float(s) for _, s in got])
 
+    importable(df.sparkSession)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("source"))
     return rows.mapInPandas(run, "id long, source string, hyp string, gec_score double")
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lurus.plans.session import importable
+
 RECORD_KEYS = {"sentences", "filename", "primary_category"}
 SENTENCE_KEYS = {"errors", "sentence_id", "teks_ocr", "kalimat_koreksi"}
 ERROR_KEYS = {"token_salah", "token_benar"}
@@ -217,6 +219,7 @@ def node_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def raw_nodes(df: DataFrame, key: str = "ann_id", payload: str = "payload") -> DataFrame:
+    importable(df.sparkSession)
     return df.select(F.col(key).cast("long"), F.col(payload).cast("string")).mapInArrow(node_batches, NODES)
 
 

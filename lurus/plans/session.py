@@ -28,8 +28,17 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it. On a cluster it is installed or sent with --py-files. Operators
+    call it before they hand Python code to Spark, by themselves or through the helpers below."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir. Only where it is unset (local tests) one is made here."""
+    importable(spark)
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -84,13 +93,6 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver has it. On a cluster it is installed or sent with --py-files."""
-    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH"), root) if x)
-
-
 def spread(df: DataFrame) -> DataFrame:
     """The frame over all cores, for work that is heavy for each row: a small file is one partition, however much is done with its rows.
 
@@ -98,6 +100,7 @@ def spread(df: DataFrame) -> DataFrame:
     expects decides: what is small is spread, what is large has partitions enough.
     """
     spark = df.sparkSession
+    importable(spark)
     cores = spark.sparkContext.defaultParallelism
     plan = df._jdf.queryExecution()
     if "Exchange" not in plan.executedPlan().toString():

@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lurus.plans.session import importable
+
 TEXT = {"quote": '"', "escape": '"', "header": True, "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
@@ -63,6 +65,7 @@ def files(df: DataFrame, id_col: str, content: str, folder: str, ending: str = "
                     Path(folder, name).write_bytes(data)
             yield b.assign(name=names, length=[None if x is None else len(x) for x in b["content"]])[["id", "name", "length"]]
 
+    importable(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(content).alias("content")).mapInPandas(write, "id long, name string, length long")
 
 

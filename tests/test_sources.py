@@ -52,3 +52,22 @@ def test_sinks(spark, tmp_path):
     assert "█" in sinks.report(df, "Shares") and r"a\_b & 0.25 \\" in sinks.latex(df)
     sinks.document(df.limit(1), str(tmp_path / "doc"))
     assert json.loads(spark.read.text(str(tmp_path / "doc")).first().value) == {"name": "a_b", "share": 0.25}
+
+
+def test_operators_reach_the_workers_from_any_frame(tmp_path):
+    """A frame that the caller read by itself, in a process that did not start in the repository."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "1").getOrCreate()
+from lurus.operators import variants
+raw = spark.createDataFrame([(1, '{{"filename": "f"}}')], "ann_id bigint, payload string")
+assert variants.raw_nodes(raw).count() == 1
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
