@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurus.plans.session import spread
+from lurus.plans.session import importable, spread
 
 WORDS, STEP, LEVEL = 6, 2, 12
 #: Bytes of each half of a dictionary, and number of dictionary pairs.
@@ -206,6 +206,7 @@ def fit(spark: SparkSession, rows: list[tuple[str, int]], seed: int = 42) -> Mod
     """A model from (text, toxic) rows. Members are trained, and kept documents scored, in tasks of their own."""
     if not {0, 1} <= {y for _, y in rows}:
         return None
+    importable(spark)
     toxic, ordinary, held = parted(rows)
     shared = spark.sparkContext.broadcast((toxic, ordinary))  # bounded by MAX_TOXIC, MAX_ORDINARY and MAX_CHARS
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from lurus.llm.ranking import cut_by_rank
 from lurus.llm.text import canonical
-from lurus.plans.session import checkpointed
+from lurus.plans.session import checkpointed, importable
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +99,7 @@ def components(links: DataFrame, partitions: int | None = None) -> DataFrame:
 
 def family_links(df: DataFrame, id_col: str, text_col: str, parent_col: str) -> DataFrame:
     """(x, r) links between records with the same sentence, or of which one is the other's parent."""
+    importable(df.sparkSession)
     text = canonical(F.col(text_col))
     rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.col(parent_col).cast("long").alias("parent")).where("id is not null")
     known = df.select(F.col(id_col).cast("long").alias("parent"))

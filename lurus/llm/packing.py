@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lurus.operators.resources import small
-from lurus.plans.session import checkpointed
+from lurus.plans.session import checkpointed, importable
 
 CAPACITY, OPEN, FAN_IN = 2048, 64, 16
 
@@ -68,6 +68,7 @@ PACKED = "item long, piece long, size long, bin long, fill long"
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, open_: int = OPEN) -> DataFrame:
     """(item, piece, size, bin) of (item, size)."""
+    importable(items.sparkSession)
     packed = checkpointed(items.select(F.col("item").cast("long"), F.col("size").cast("long")).mapInArrow(_pack(capacity, open_, 0), PACKED))
     parts = packed.rdd.getNumPartitions()
     left = packed.where("fill is not null").select("bin", "fill")

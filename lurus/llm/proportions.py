@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lurus.llm.ranking import cut_by_rank, priority
 from lurus.llm.text import CATEGORIES, category_name, split_name
-from lurus.plans.session import staged
+from lurus.plans.session import importable, staged
 
 SPLITS, NAMES = ("train", "val", "test"), tuple(CATEGORIES.values())
 STATE = "place int, id long, p long, n long"
@@ -85,6 +85,7 @@ def _filled(most: dict[int, int]):
 
 def reservoirs(df: DataFrame, targets: DataFrame, id_col: str = "image_id", seed: int = 42) -> DataFrame:
     """(split, category, id, p, n): the mergeable state of all reservoirs, in the shared folder. Rows with an id are kept records, the others counts."""
+    importable(df.sparkSession)
     most = bounds(targets, df.count())  # for a table of files their own counts, no scan
     rows = known(df, id_col).select("place", "id", priority(F.col("id"), seed).alias("p"))
     return named(staged(rows.mapInArrow(_filled(most), STATE), "reservoirs"))
