@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lurus.llm import abuse, collapse, families, overlap, packing, proportions, ranking, terms, tokens
+from lurus.llm import abuse, collapse, families, overlap, packing, pieces, proportions, ranking, terms, tokens
 from lurus.llm.queries import QUERIES, SQL
 from lurus.llm.text import canonical, category_name, split_name
 from tests.compare import differences
@@ -228,6 +228,44 @@ def test_digests_find_what_the_exhaustive_search_finds(spark, sf_dir):
     assert got.exceptAll(all_).isEmpty() and got.count() >= 0.99 * all_.count()
 
 
+def test_more_variants_of_a_text_than_a_run_may_have(spark, tmp_path):
+    """Every run that a pair shares is common, or no two chunks in a row are left whole: all of them are pairs nevertheless."""
+    rng = random.Random(11)
+
+    def worn(t, n):
+        t = list(t)
+        for k in rng.sample(range(len(t)), n):
+            t[k] = rng.choice("xyz")
+        return "".join(t)
+
+    base = "".join(rng.choice("abcdefghijklmnop") for _ in range(105))
+    rows = [(i, worn(base, 8), None, "train") for i in range(300)] + [(1000 + i, worn(base, i), None, "val") for i in range(0, 8)]
+    meta(spark, rows).write.parquet(f"{tmp_path}/syn_metadata.parquet")
+    want = {(i, 1000 + k) for i in range(300) for k in range(0, 8)}
+    assert all(near(rows[i][1], rows[300 + k][1]) for i in range(0, 300, 10) for k in range(8))
+    assert {tuple(r) for r in QUERIES["p5_found"](spark, str(tmp_path)).collect()} == want
+    assert {(r.image_id, r.near_texts, r.near_records) for r in QUERIES["p5_links"](spark, str(tmp_path)).collect()} == {(1000 + k, 300, 300) for k in range(8)}
+
+
+def test_the_exhaustive_search_against_brute_force():
+    """Texts of shared phrases, edited at random: pieces in a row that stand unchanged, and ones that stand in many texts."""
+    rng = random.Random(2)
+    phrases = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 30))) for _ in range(25)]
+
+    def edited(t, n):
+        for _ in range(n):
+            k = rng.randrange(len(t))
+            t = rng.choice([t[:k] + t[k + 1 :], t[:k] + rng.choice("abxy") + t[k:], t[:k] + rng.choice("abxy") + t[k + 1 :]]) or "a"
+        return t
+
+    texts = ["".join(rng.choice(phrases) for _ in range(rng.randrange(1, 8))) for _ in range(40)]
+    train, held = ([edited(t, rng.randrange(len(t) // 7 + 2)) for t in texts for _ in range(3)] for _ in range(2))
+    t, e = pieces.Pieces(held).candidates(pieces.Letters(train))
+    found = set(zip(t.tolist(), e.tolist()))
+    want = {(i, k) for i, a in enumerate(train) for k, b in enumerate(held) if abs(len(a) - len(b)) <= max(len(a), len(b)) // 7 and near(a, b)}
+    assert len(want) > 150 and want <= found
+
+
 def test_links_of_a_sentence_that_most_records_share(spark):
     rows = [(i, "Satu kalimat yang ada di mana-mana di semua catatan", None, "train" if i % 2 else "val") for i in range(3000)] + [(9000, "Satu kalimat yang ada di mana-mana di semua catatn", None, "test")]
     got = {r.id: (r.near_texts, r.near_records) for r in overlap.links(meta(spark, rows)).collect()}
