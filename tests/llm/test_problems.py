@@ -266,6 +266,22 @@ def test_the_exhaustive_search_against_brute_force():
     assert len(want) > 150 and want <= found
 
 
+def test_the_exhaustive_search_where_many_texts_meet_at_a_run(monkeypatch):
+    """All pairs are found whether runs are compared all with all or one by one, and texts of other lengths are not looked up at all."""
+    rng = random.Random(4)
+    words = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    start, end = words(14), words(14)
+    train = [start + words(50) + end for _ in range(150)]
+    held = ["".join("z" if rng.random() < 0.08 else c for c in t) for t in train for _ in range(2)]
+    want = {(i, k) for i, a in enumerate(train) for k in (2 * i, 2 * i + 1) if near(a, held[k])}
+    assert len(want) > 200
+    for dense in (1, 1 << 60):
+        monkeypatch.setattr(pieces, "DENSE", dense)
+        t, e = pieces.Pieces(held).candidates(pieces.Letters(train))
+        assert want <= set(zip(t.tolist(), e.tolist())) and len(t) < 2 * len(want)
+    assert pieces._lookups(78, np.array([60, 100])) == [] and len(pieces._lookups(78, np.array([60, 78, 100]))) == 1
+
+
 def test_links_of_a_sentence_that_most_records_share(spark):
     rows = [(i, "Satu kalimat yang ada di mana-mana di semua catatan", None, "train" if i % 2 else "val") for i in range(3000)] + [(9000, "Satu kalimat yang ada di mana-mana di semua catatn", None, "test")]
     got = {r.id: (r.near_texts, r.near_records) for r in overlap.links(meta(spark, rows)).collect()}
