@@ -1,25 +1,35 @@
 """Uncertainty: bootstrap intervals, paired bootstrap, sign and McNemar tests.
 
 Draws are hashes of (seed, replicate, position), so a replicate is the same in every run, engine and partitioning. Resampling touches counters, never
-texts. Replicates come from an explode on the counters' row numbers; for very large inputs `poisson` weights rows in one pass without any join.
+texts. The counters are staged in the order of their row numbers, and a task makes some of the replicates whole (`operators/draws.py`), so that nothing is
+joined or broadcast; `poisson` weights rows in one pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from lurus.functions.stats import binomial_p, draw, f_beta, ratio, uniform
-from lurus.operators.resources import small
+from lurus.functions.stats import binomial_p, f_beta, ratio, uniform
+from lurus.operators import draws
 from lurus.plans.indexing import row_index
+from lurus.plans.session import scratch
 
 
 def replicates(df: DataFrame, by: str, b: int, seed: int, *sums: str) -> DataFrame:
     """(rep, *sums) of b resamples with replacement of all rows."""
-    rows = row_index(df.select(by, *sums), by).select("i", *sums)
-    n = rows.count()
-    draws = rows.select(F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("rep")).select("rep", (draw(seed, F.col("rep"), F.col("k")) % max(n, 1)).alias("i"))
-    return draws.join(small(rows), "i").groupBy("rep").agg(*(F.sum(c).alias(c) for c in sums))
+    kinds = df.select(*(F.sum(c).alias(c) for c in sums)).schema
+    if unfit := [f.name for f in kinds if f.dataType.typeName() not in ("long", "double")]:
+        raise ValueError(f"whole or floating numbers are summed, which {', '.join(unfit)} is not")
+    spark, path = df.sparkSession, scratch(df.sparkSession, "counters")
+    row_index(df.select(by, *(F.col(c).cast(kinds[c].dataType).alias(c) for c in sums)), by).select("i", *sums).write.option("compression", "zstd").parquet(path)
+    n, cores = spark.read.parquet(path).count(), spark.sparkContext.defaultParallelism
+    kinds = StructType([StructField("rep", IntegerType()), *kinds])
+    if not n:
+        return spark.createDataFrame([], kinds)
+    reps = spark.range(0, b, 1, max(1, min(b, max(4 * cores, n * b >> 30)))).select(F.col("id").cast("int").alias("rep"))
+    return reps.mapInArrow(draws.sums_with(path, n, seed, list(sums)), kinds)
 
 
 def poisson_replicates(df: DataFrame, by: str, b: int, seed: int, *sums: str) -> DataFrame:

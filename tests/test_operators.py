@@ -179,3 +179,40 @@ def test_f_interval(spark):
     assert r.lo <= r.point <= r.hi
     one = resampling.f_interval(df.limit(1), "id", 10).first()
     assert one.lo == one.hi == one.point
+
+
+def test_replicates_are_the_drawn_rows_sums_without_a_join(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lurus.operators import draws
+
+    df = spark.range(1105).select((F.col("id") * 7 - 3).alias("id"), (F.col("id") % 13).cast("int").alias("e"), F.when(F.col("id") % 5 > 0, F.col("id") % 11 / 7).alias("x"))
+    rows = [(r.e, r.x) for r in df.orderBy("id").collect()]
+    h = lambda seed, rep, k: int(hashlib.md5(f"{seed}|{rep}|{k}".encode()).hexdigest()[:8], 16)
+    drawn = [[rows[h(5, rep, k) % 1105] for k in range(1105)] for rep in range(12)]
+    want = {rep: (sum(e for e, _ in d), round(sum(x or 0 for _, x in d), 6)) for rep, d in enumerate(drawn)}
+    reps = resampling.replicates(df, "id", 12, 5, "e", "x")
+    assert {r.rep: (r.e, round(r.x, 6)) for r in reps.collect()} == want
+    plan = reps._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Broadcast", "Exchange", "Generate"))
+    # row numbers of more digits than differ within an array; and windows of rows
+    for seed, rep, n in ((42, 999, 101_003), (1234567, 10, 20_001), (42, 0, 1)):
+        got = np.concatenate(list(draws.draws(seed, rep, n)))
+        assert len(got) == n and all(got[k] == h(seed, rep, k) for k in (*range(0, n, 97), n - 1))
+    df.orderBy("id").toPandas().assign(i=range(1105)).to_parquet(tmp_path / "a.parquet")
+    whole = draws.ROOM, draws.WINDOW, draws.BATCH
+    try:
+        draws.ROOM, draws.WINDOW, draws.BATCH = 3000, 400, 90
+        got = [q for r in draws.sums_with(f"file://{tmp_path}", 1105, 5, ["e", "x"])(iter([pa.record_batch({"rep": pa.array(range(12), pa.int32())})])) for q in r.to_pylist()]
+    finally:
+        draws.ROOM, draws.WINDOW, draws.BATCH = whole
+    assert {q["rep"]: (q["e"], round(q["x"], 6)) for q in got} == want
+    # sums of nulls alone are null, no rows give no replicates
+    two = df.limit(2).withColumn("x", F.when(F.col("id") > 0, 1.5))
+    sums = {r.rep: (r.e, r.x) for r in resampling.replicates(two, "id", 8, 5, "e", "x").collect()}
+    ones = {rep: sum(h(5, rep, k) % 2 for k in range(2)) for rep in range(8)}
+    assert sums == {rep: (k, 1.5 * k if k else None) for rep, k in ones.items()} and 0 in ones.values()
+    assert resampling.replicates(df.limit(0), "id", 3, 5, "e", "x").count() == 0
