@@ -38,9 +38,15 @@ def _tails(digits: int, at: int) -> list[np.ndarray]:
 
 def _first_word(words: list[int | np.ndarray], size: int) -> np.ndarray:
     """The first 32 bits of the md5 of messages of one block, whose words are the same for all or an array. The last three rounds do not change them."""
-    a, b, c, d = (np.full(size, x, np.uint32) for x in START)
+    a, b, c, d = START
+    same = next(k for k, word in enumerate(words) if not isinstance(word, int))
+    for k in range(same):
+        x = (a + (d ^ (b & (c ^ d))) + words[k] + SINES[k]) & 0xFFFFFFFF
+        by = SHIFTS[0][k % 4]
+        a, b, c, d = d, (b + (x << by | x >> 32 - by)) & 0xFFFFFFFF, b, c
+    a, b, c, d = (np.full(size, x, np.uint32) for x in (a, b, c, d))
     x, y = np.empty(size, np.uint32), np.empty(size, np.uint32)
-    for k in range(61):
+    for k in range(same, 61):
         turn = k // 16
         if turn < 2:
             p, q, r = (b, c, d) if turn == 0 else (d, b, c)
@@ -119,12 +125,14 @@ def sums_with(path: str, n: int, seed: int, sums: list[str]):
                         times_drawn(seed, rep, n, lo, row)
                     inside = (ds.field("i") >= lo) & (ds.field("i") < lo + times.shape[1])
                     for part in source.to_batches(filter=inside, batch_size=BATCH, batch_readahead=1, fragment_readahead=1):
-                        weights = times[:, part["i"].to_numpy() - lo]
+                        i = part["i"].to_numpy() - lo
+                        in_order = len(i) > 0 and (np.diff(i) == 1).all()
+                        drawn = times[:, i[0] : i[-1] + 1] if in_order else times[:, i]
+                        weights = {kind: drawn.astype(kind) for kind in {part[c].type.to_pandas_dtype() for c in sums}}
                         for c in sums:
                             if part[c].null_count:
-                                nulls[c] += weights[:, part[c].is_null().to_numpy(zero_copy_only=False)].sum(1, np.int64)
-                            values = part[c].fill_null(0).to_numpy()
-                            total[c] = total[c] + weights.astype(values.dtype) @ values
+                                nulls[c] += drawn[:, part[c].is_null().to_numpy(zero_copy_only=False)].sum(1, np.int64)
+                            total[c] = total[c] + weights[part[c].type.to_pandas_dtype()] @ part[c].fill_null(0).to_numpy()
                 yield pa.record_batch({"rep": reps} | {c: pa.array(total[c], mask=nulls[c] == n) for c in sums})
 
     return replicates

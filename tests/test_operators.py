@@ -216,3 +216,24 @@ def test_replicates_are_the_drawn_rows_sums_without_a_join(spark, tmp_path):
     ones = {rep: sum(h(5, rep, k) % 2 for k in range(2)) for rep in range(8)}
     assert sums == {rep: (k, 1.5 * k if k else None) for rep, k in ones.items()} and 0 in ones.values()
     assert resampling.replicates(df.limit(0), "id", 3, 5, "e", "x").count() == 0
+
+
+def resampled(rows, b, seed):
+    import hashlib
+
+    n = len(rows)
+    return [[rows[int(hashlib.md5(f"{seed}|{rep}|{k}".encode()).hexdigest()[:8], 16) % n] for k in range(n)] for rep in range(b)]
+
+
+def joins_draws(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any(x in plan for x in ("Generate", "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin"))
+
+
+def test_f_interval_joins_no_draws(spark):
+    rows = [(k, k % 3, k % 2, k % 5 % 2) for k in range(40)]
+    out = resampling.f_interval(spark.createDataFrame(rows, "id int, tp int, fp int, fn int"), "id", 60, 7)
+    assert not joins_draws(out)
+    f = sorted((1.25 * tp / (1.25 * tp + 0.25 * fn + fp) for tp, fp, fn in ([sum(r[k] for r in d) for k in (1, 2, 3)] for d in resampled(rows, 60, 7))))
+    got = out.first()
+    assert (got.n, round(got.lo, 9), round(got.hi, 9)) == (40, round(f[1], 9), round(f[58], 9))
