@@ -237,3 +237,12 @@ def test_f_interval_joins_no_draws(spark):
     f = sorted((1.25 * tp / (1.25 * tp + 0.25 * fn + fp) for tp, fp, fn in ([sum(r[k] for r in d) for k in (1, 2, 3)] for d in resampled(rows, 60, 7))))
     got = out.first()
     assert (got.n, round(got.lo, 9), round(got.hi, 9)) == (40, round(f[1], 9), round(f[58], 9))
+
+
+def test_paired_bootstrap_joins_no_draws(spark):
+    rows = [(k, (k * 7 % 11 - 5) / 8) for k in range(40)]
+    out = resampling.paired_bootstrap(spark.createDataFrame(rows, "id int, diff double"), "id", "diff", 80, 7)
+    assert not joins_draws(out)
+    means = sorted(round(sum(x for _, x in d) / 40, 9) for d in resampled(rows, 80, 7))
+    above, got = sum(m > 0 for m in means) / 80, out.first()
+    assert (got.n, round(got.lo, 9), round(got.hi, 9), round(got.p, 9)) == (40, means[2], means[77], round(2 * min(above, 1 - above), 9))
